@@ -1,0 +1,5 @@
+"""Intentionally empty: every input of this library is a bounded table.
+
+No operator of the feature set has window, watermark or late-data semantics, so there is
+nothing to build here.
+"""
