@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.catalog import extraction
+from folioscope.catalog import evaluation, extraction, preprocessing
 
-MODULES = [extraction]
+MODULES = [extraction, evaluation, preprocessing]
 
 
 def queries() -> dict:
