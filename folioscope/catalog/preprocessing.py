@@ -13,7 +13,7 @@ from folioscope.catalog.evaluation import folds_sql
 from folioscope.functions import scalars as fs
 from folioscope.operators import preprocess as pp
 from folioscope.operators import splits as sp
-from folioscope.session import shared_folder
+from folioscope.session import derived_once, shared_folder
 from folioscope.sources import sinks
 
 QUERIES: dict = {}
@@ -34,6 +34,10 @@ position AS (SELECT * FROM (VALUES {', '.join(f"('{f}', {i})" for i, f in enumer
 
 
 def matrix(spark, sf):
+    return derived_once(spark, f"supplier matrix {sf}", lambda: _matrix(spark, sf))
+
+
+def _matrix(spark, sf):
     base = b.feature_rows(spark, sf).select(
         F.col("entity_id").alias("row_id"), "feature", F.round(F.col("value") + HALF, 6).alias("value"))
     rid = F.col("row_id")

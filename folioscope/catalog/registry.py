@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.catalog import evaluation, extraction, preprocessing
+from folioscope.catalog import evaluation, extraction, neighbourhood, preprocessing
 
-MODULES = [extraction, evaluation, preprocessing]
+MODULES = [extraction, evaluation, preprocessing, neighbourhood]
 
 
 def queries() -> dict:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.scalars import safe_divide
 from folioscope.operators.ordered import running_sums, value_at, value_cells
+from folioscope.session import cut_lineage
 
 # Thresholds and the texts of the report.
 MAX_MISSING = 0.30
@@ -200,7 +201,8 @@ def correlated_features(
     Features are visited by falling variance, ties in feature order; the edges one task walks
     are at most features squared, whatever the number of rows.
     """
-    sums = pair_sums(vectors, fold, len(features))
+    # Read three times below; folds x features squared at most.
+    sums = cut_lineage(pair_sums(vectors, fold, len(features)))
     var = F.col("sxx") / F.col("n") - F.pow(F.col("sx") / F.col("n"), F.lit(2))
     # Eleven digits, so rounding noise cannot reorder features of equal variance.
     level = F.format_string("%.10e", var).cast("double")
@@ -238,10 +240,11 @@ def fit_filters(
         F.when(F.col("missing_frac") > limits.missing, "missingness")
         .when(F.col("imputed_same_share") > limits.same_share, "near_constant")
     )
-    base = profile.select(
+    # Read by three later steps and no larger than folds x features: written once.
+    base = cut_lineage(profile.select(
         fold, "feature", "position", "missing_frac", F.col("imputed_same_share").alias("same_share"), "median",
         F.when(iqr > SCALE_FLOOR, iqr).otherwise(F.lit(1.0)).alias("scale"), step.alias("_step"),
-    )
+    ))
     centres = base.groupBy(fold).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("position", F.coalesce("median", F.lit(0.0)).alias("m")))),
         lambda s: s["m"]).alias("_c"))

@@ -42,3 +42,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+_DERIVED: dict = {}
+
+
+def derived_once(spark: SparkSession, name: str, build) -> DataFrame:
+    """A derived table that several jobs of one session read: checkpointed on first use."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _DERIVED:
+        _DERIVED[key] = cut_lineage(build())
+    return _DERIVED[key]
