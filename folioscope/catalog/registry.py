@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.catalog import evaluation, extraction, neighbourhood, preprocessing
+from folioscope.catalog import evaluation, extraction, modelling, neighbourhood, preprocessing
 
-MODULES = [extraction, evaluation, preprocessing, neighbourhood]
+MODULES = [extraction, evaluation, preprocessing, neighbourhood, modelling]
 
 
 def queries() -> dict:
