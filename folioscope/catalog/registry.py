@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.catalog import evaluation, extraction, modelling, neighbourhood, preprocessing
+from folioscope.catalog import evaluation, extraction, modelling, neighbourhood, preprocessing, reduction
 
-MODULES = [extraction, evaluation, preprocessing, neighbourhood, modelling]
+MODULES = [extraction, evaluation, preprocessing, neighbourhood, modelling, reduction]
 
 
 def queries() -> dict:

@@ -94,7 +94,7 @@ DEEPEST = 30  # Spark's limit; stands for "no limit"
 UNWEIGHTED = {"xgb"}
 NO_OVERSAMPLING = {"lgbm"}
 RANDOM_FEATURES = 256
-MAX_ITERATIONS = 2000
+MAX_ITERATIONS = 200
 
 
 def model_grids(task: str, model_filter: Sequence[str] | None = None) -> dict[str, dict]:

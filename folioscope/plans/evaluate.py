@@ -43,6 +43,18 @@ class Design:
 
     table: DataFrame
     n_inner: int
+    grown: dict[int, DataFrame] = field(default_factory=dict)
+
+    def grow(self, split_numbers: Sequence[int], plan: Plan) -> None:
+        """Oversample the training rows of splits; models and candidates share the result."""
+        def one(split: int) -> None:
+            self.grown[split] = with_oversampling(self.rows(split, "train"), plan.seed)
+        with ThreadPoolExecutor(plan.parallelism) as pool:
+            list(pool.map(one, split_numbers))
+
+    def training(self, split: int, model_id: str) -> DataFrame:
+        plain = model_id in models.NO_OVERSAMPLING or split not in self.grown
+        return self.rows(split, "train") if plain else self.grown[split]
 
     def split_of(self, outer: int, inner: int | None = None) -> int:
         return outer * (self.n_inner + 1) + (0 if inner is None else 1 + inner)
@@ -97,8 +109,6 @@ def with_oversampling(train: DataFrame, seed: int) -> DataFrame:
 
 def _fit(task: str, model_id: str, params: dict, train: DataFrame, n_classes: int, plan: Plan) -> models.Fitted:
     if task == "classification":
-        if plan.use_smote and model_id not in models.NO_OVERSAMPLING:
-            train = with_oversampling(train, plan.seed)
         return models.fit_classifier(model_id, params, train, n_classes, plan.seed)
     return models.fit_regressor(model_id, params, train, plan.seed)
 
@@ -123,7 +133,7 @@ def search_parameters(
         c, inner = job
         split = design.split_of(outer, inner)
         try:
-            fitted = _fit(task, model_id, candidates[c], design.rows(split, "train"), n_classes, plan)
+            fitted = _fit(task, model_id, candidates[c], design.training(split, model_id), n_classes, plan)
             return _scored(fitted, design.rows(split, "test"), task).withColumn("candidate", F.lit(c)).withColumn("inner", F.lit(inner))
         except Exception as exc:  # a failing candidate must not stop the search
             models.log.warning("candidate %s of %s failed: %s", candidates[c], model_id, str(exc)[:200])
@@ -159,6 +169,9 @@ def _evaluate(
     search = any(m not in plan.fixed_params for m in grids)
     folded, design = build_design(long, features, labelled, plan, stratum, inner_stratum, search)
     spark = long.sparkSession
+    if task == "classification" and plan.use_smote and set(grids) - models.NO_OVERSAMPLING:
+        inner = [design.split_of(o, i) for o in range(plan.n_outer) for i in range(plan.n_inner)] if search else []
+        design.grow([design.split_of(o) for o in range(plan.n_outer)] + inner, plan)
 
     def one(job: tuple[int, str]) -> tuple[DataFrame, tuple]:
         outer, model_id = job
@@ -167,7 +180,7 @@ def _evaluate(
         else:
             params, _ = search_parameters(task, model_id, grids[model_id], design, outer, n_classes, plan)
         split = design.split_of(outer)
-        fitted = _fit(task, model_id, params, design.rows(split, "train"), n_classes, plan)
+        fitted = _fit(task, model_id, params, design.training(split, model_id), n_classes, plan)
         pred = _scored(fitted, design.rows(split, "test"), task)
         tagged = pred.withColumn("fold", F.lit(outer)).withColumn("model", F.lit(model_id))
         return tagged, (outer, model_id, models.params_text(params))
@@ -239,6 +252,8 @@ def learning_curve(
         model_id, size, fold = spec
         split = design.split_of(fold)
         train = design.rows(split, "train").where(hash_unit(F.lit(plan.seed), F.lit("size"), F.col("row_id")) <= size)
+        if plan.use_smote and model_id not in models.NO_OVERSAMPLING:
+            train = with_oversampling(train, plan.seed)
         fitted = _fit("classification", model_id, (params or {}).get(model_id, {}), train, n_classes, one)
         shown = [
             _scored(fitted, rows, "classification").withColumn("split", F.lit(name))
