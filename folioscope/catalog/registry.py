@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.catalog import evaluation, extraction, modelling, neighbourhood, preprocessing, reduction
+from folioscope.catalog import evaluation, explanation, extraction, modelling, neighbourhood, preprocessing, reduction
 
-MODULES = [extraction, evaluation, preprocessing, neighbourhood, modelling, reduction]
+MODULES = [extraction, evaluation, preprocessing, neighbourhood, modelling, reduction, explanation]
 
 
 def queries() -> dict:
