@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.catalog import evaluation, explanation, extraction, modelling, neighbourhood, preprocessing, reduction
+from folioscope.catalog import evaluation, explanation, extraction, modelling, neighbourhood, preprocessing, reduction, runs
 
-MODULES = [extraction, evaluation, preprocessing, neighbourhood, modelling, reduction, explanation]
+MODULES = [extraction, evaluation, preprocessing, neighbourhood, modelling, reduction, explanation, runs]
 
 
 def queries() -> dict:
