@@ -153,7 +153,8 @@ def r7(spark, sf):
 @query("g2_nested_classification")
 def g2(spark, sf):
     long, labels = quality(spark, sf)
-    plan = ev.Plan(n_outer=2, n_inner=2, n_iter=2, model_filter=["dt", "lr"])
+    # The tree is searched, the logistic model runs with given parameters; both are oversampled.
+    plan = ev.Plan(n_outer=2, n_inner=2, n_iter=2, model_filter=["dt", "lr"], fixed_params={"lr": SMALL["lr"]})
     return ev.run_classification(long, DOC_FEATURES, labels, 2, plan)["cv_results"]
 
 

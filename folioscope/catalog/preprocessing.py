@@ -75,7 +75,7 @@ _N = "(SELECT count(DISTINCT row_id) FROM {src})"
 def chain_sql(train: str, fold: str = "0") -> str:
     """CTEs of the fitted chain over `train`(fold, row_id, feature, value)."""
     return f"""nr AS (SELECT fold, count(DISTINCT row_id) AS n_rows FROM {train} GROUP BY fold), med AS (
-  SELECT fold, feature, count(value) AS n, 1.0::DOUBLE - count(value) / any_value(n_rows)::DOUBLE AS missing_frac, quantile_cont(value, 0.5) AS median
+  SELECT fold, feature, count(value) AS n, (any_value(n_rows) - count(value)) / any_value(n_rows)::DOUBLE AS missing_frac, quantile_cont(value, 0.5) AS median
   FROM {train} JOIN nr USING (fold) GROUP BY ALL), imp AS (
   SELECT t.fold, row_id, feature, coalesce(value, median) AS value FROM {train} t JOIN med USING (fold, feature)), same AS (
   SELECT fold, feature, max(n) / sum(n)::DOUBLE AS same_share FROM (SELECT fold, feature, value, count(*) AS n FROM imp GROUP BY ALL) GROUP BY ALL), sc AS (

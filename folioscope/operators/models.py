@@ -94,7 +94,8 @@ DEEPEST = 30  # Spark's limit; stands for "no limit"
 UNWEIGHTED = {"xgb"}
 NO_OVERSAMPLING = {"lgbm"}
 RANDOM_FEATURES = 256
-MAX_ITERATIONS = 200
+MAX_ITERATIONS = 100  # every iteration is a pass over the data
+TOLERANCE = 1e-4
 
 
 def model_grids(task: str, model_filter: Sequence[str] | None = None) -> dict[str, dict]:
@@ -223,7 +224,7 @@ def fit_classifier(model_id: str, params: dict, train: DataFrame, n_classes: int
         rows = train.count()  # balanced weights sum to the number of rows
         est = LogisticRegression(
             regParam=1.0 / (float(params.get("C", 1.0)) * rows), elasticNetParam=float(params.get("l1_ratio", 0.0)),
-            standardization=False, maxIter=MAX_ITERATIONS, **weight)
+            standardization=False, maxIter=MAX_ITERATIONS, tol=TOLERANCE, **weight)
     elif model_id == "rf":
         est = _forest(RandomForestClassifier, params, seed)
         est.setWeightCol("weight")

@@ -101,7 +101,7 @@ def column_profile(
     full = every.join(picked, keys, "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("median", med)
     return full.select(
         fold, "feature", "position", "n_rows", "n", "median",
-        (F.lit(1.0) - F.col("n") / F.col("n_rows")).alias("missing_frac"),
+        (missing / F.col("n_rows")).alias("missing_frac"),
         safe_divide(F.col("top"), F.col("n")).alias("same_share"),
         safe_divide(imputed_top, F.col("n_rows")).alias("imputed_same_share"),
         quartile(25).alias("q25"), quartile(75).alias("q75"),
