@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.scalars import safe_divide, two_sided_t_p
 from folioscope.operators.ordered import average_ranks, exact_quantiles, running_sums_and_offsets, with_shard
+from folioscope.session import cut_lineage
 
 GRID_STEPS = 100
 HISTOGRAM_BINS = 20
@@ -126,7 +127,8 @@ def mean_roc(pred: DataFrame, fold: str = "fold", group: Sequence[str] = ("model
     """(group, fpr, mean_tpr, std_tpr, mean_auc, std_auc) over the folds that have both classes."""
     group = list(group)
     keys = [fold, *group]
-    steps = score_steps(pred, keys)
+    # Read by the curve points, both sides of the grid and the areas: written once.
+    steps = cut_lineage(score_steps(pred, keys))
     curve = tpr_on_grid(roc_points(steps, keys), keys).groupBy(*group, "step").agg(
         F.avg("tpr").alias("mean_tpr"), F.stddev_pop("tpr").alias("std_tpr"))
     area = auc_of_steps(steps, keys).where(F.col("auc_roc").isNotNull()).groupBy(*group).agg(
