@@ -1,8 +1,11 @@
-"""Session construction and lineage cutting."""
+"""Session construction, shared folders and lineage cutting."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +28,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
+_LOCAL: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names, else a local one for tests."""
+    """Folder every executor can reach: the one the cluster names, else one local folder that
+    lives as long as this process (local master only)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
@@ -35,7 +42,30 @@ def shared_folder(spark: SparkSession) -> str:
         return active
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="folioscope-")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="folioscope-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return _LOCAL[0]
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a written table through the file system that holds it."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """The rows written once as Parquet in the shared folder and read back: a lineage cut that
+    survives lost executors and keeps column pruning and filters."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
