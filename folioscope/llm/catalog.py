@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscope.llm import chat, linededup, mixing
+from folioscope.llm import chat, linededup, mixing, quality, tokencount, wavelet
 from folioscope.llm.common import table
-from pyspark.sql import functions as F
 
 CONTROL_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -17,6 +18,20 @@ def op1_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.prefix_examples(turns.unionByName(more)))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = quality.ledger(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return quality.decide(entries).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
+
+
+def op5_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents", "doc_id", "source", "text")).drop("positions")
 
@@ -26,7 +41,7 @@ def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_prefix_targets, op8_mix_curriculum, op9_line_runs)}
+QUERIES = {f.__name__: f for f in (op1_chat_prefix_targets, op3_token_counts, op4_rule_ledger, op5_wavelet_shards, op8_mix_curriculum, op9_line_runs)}
 
 SQL = {
     "op1_chat_prefix_targets": r"""
@@ -45,6 +60,29 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
        (sum(upto) FILTER (role = 'assistant' OR i = n))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op4_rule_ledger": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents), w AS (
+  SELECT rid, unnest(ws) AS w, unnest(range(len(ws))) AS i
+  FROM (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d)), t AS (
+  SELECT rid, i, w, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)), f AS (
+  SELECT rid, i, w, coalesce(w = w1, FALSE) AS same, w2 IS NOT NULL AND count(*) OVER (PARTITION BY rid, w, w1, w2) > 1 AS again FROM t), c AS (
+  SELECT rid, length(w) AS chars, same, again OR coalesce(lag(again) OVER o, FALSE) OR coalesce(lag(again, 2) OVER o, FALSE) AS covered,
+         regexp_matches(w, '[A-Z]') AND NOT regexp_matches(w, '[a-z]') AND strlen(w) > 1 AS shout
+  FROM f WINDOW o AS (PARTITION BY rid ORDER BY i)), a AS (
+  SELECT rid, count(*) AS n_words, sum(chars) AS word_chars, count(*) FILTER (covered) AS n_repeat_words,
+         count(*) FILTER (same) AS n_same, count(*) FILTER (shout) AS n_shouts FROM c GROUP BY rid), l AS (
+  SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid), m AS (
+  SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_same, 0) AS n_same, coalesce(n_shouts, 0) AS n_shouts
+  FROM d LEFT JOIN a USING (rid) LEFT JOIN l USING (rid)), b AS (
+  SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (word_chars < 2 * n_words)::INT
+         + 8 * (word_chars > 15 * n_words)::INT + 16 * (100 * n_symbols > 25 * n_words)::INT + 32 * (100 * n_dup_lines > 50 * n_lines)::INT
+         + 64 * (100 * n_same > 25 * n_words)::INT + 128 * (100 * n_shouts > 40 * n_words)::INT AS failed_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed,
+       failed_bits = 0 AS kept, failed_bits FROM b""",
     "op8_mix_curriculum": r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
