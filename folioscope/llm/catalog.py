@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, linededup, mixing, quality, tokencount, wavelet
+from folioscope.llm import chat, decontam, html_extract, linededup, mixing, quality, simhash, tokencount, toxicity, wavelet
 from folioscope.llm.common import table
 
 CONTROL_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -18,6 +18,10 @@ def op1_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.prefix_examples(turns.unionByName(more)))
 
 
+def op2_style_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -32,6 +36,16 @@ def op5_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_segment_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_clusters(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.matches(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return out.select("doc_id", "item_id", "matched", "item_words", "word_start", "word_end")
+
+
 def op8_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents", "doc_id", "source", "text")).drop("positions")
 
@@ -41,7 +55,13 @@ def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_prefix_targets, op3_token_counts, op4_rule_ledger, op5_wavelet_shards, op8_mix_curriculum, op9_line_runs)}
+def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_chat_prefix_targets, op2_style_trees, op3_token_counts, op4_rule_ledger, op5_wavelet_shards,
+    op6_segment_popcount, op7_spaced_seeds, op8_mix_curriculum, op9_line_runs, op10_toxic_segments)}
 
 SQL = {
     "op1_chat_prefix_targets": r"""
