@@ -1,14 +1,18 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
-1. Counts: every text is cut into words; a word and its first four and five characters are three
-   features, hashed into a table of `SLOTS` slots. Tasks count the documents that hold a feature,
-   among all documents and, for rows that may be learned from, among toxic and other ones in two
-   folds.
+1. Counts: every text is cut into words; a word and its first five and four characters are three
+   features, each hashed into both halves of a table of `SLOTS` slots. Tasks count the documents
+   that hold a feature, among all documents and, for rows that may be learned from, among toxic
+   and other ones in two folds. Near copies share one vote: documents with one label and the same
+   smallest hash of a word triple divide it, or a toxic text's copies would make its whole
+   wording look toxic.
 2. Weights: log-odds of a feature between the two classes under a Dirichlet prior (`FLAT` of a
    document for each feature and the corpus counts, scaled to `PRIOR` of the labelled ones), less
-   `CAUTION` standard errors. A
-   word weighs what its best feature does, at least `FLOOR`, less `DRIFT`, so that a stretch of
-   neutral words scores below zero.
+   `CAUTION` standard errors; of a feature's two slots the lower one counts, so that sharing a
+   slot with a toxic word makes no word toxic. A
+   word weighs what its most special feature known from `ENOUGH` labelled documents does, at
+   least `FLOOR`, less `DRIFT`, so that a stretch of neutral words scores below zero. Counts are
+   of documents, so only a word's first place in a text is evidence for it.
 3. Segments: one linear scan finds all disjoint maximal-scoring segments of a text.
 4. Extreme values: the best segment of n words of ordinary text exceeds s with probability
    1 - exp(-K n exp(-lambda s)); K and lambda are fitted to the learnable rows that aren't toxic,
@@ -40,7 +44,7 @@ from pyspark.sql import functions as F
 
 from folioscope.session import staged
 
-SLOTS, PAGE = 1 << 20, 1 << 13
+SLOTS, PAGE, ENOUGH = 1 << 21, 1 << 13, 5
 PRIOR, FLAT, CAUTION, FLOOR, DRIFT, CEILING = 0.002, 0.5, 2.0, -1.0, 0.1, 8.0
 CLASSES = 5  # all; toxic and other of fold 0; toxic and other of fold 1
 SIGNIFICANT = 0.05
@@ -58,14 +62,19 @@ def fold() -> Column:
 
 
 def feature_slots(word: str) -> tuple[int, ...]:
-    """Slots of a word and of its beginnings; marks at its ends don't count."""
+    """Two slots each of a word, its first five and its first four characters; marks at its ends
+    don't count."""
     bare = word
     while bare and not bare[-1].isalnum():
         bare = bare[:-1]
     while bare and not bare[0].isalnum():
         bare = bare[1:]
     bare = bare or word
-    return tuple(xxhash.xxh64_intdigest(f.encode("utf-8", "surrogatepass"), seed) % SLOTS for seed, f in ((1, bare), (4, bare[:4]), (5, bare[:5])))
+    slots = []
+    for kind, feature in enumerate((bare, bare[:5], bare[:4])):
+        h = xxhash.xxh64_intdigest(feature.encode("utf-8", "surrogatepass"), kind)
+        slots += [h % (SLOTS // 2), SLOTS // 2 + (h >> 32) % (SLOTS // 2)]
+    return tuple(slots)
 
 
 class Numbers(dict):
@@ -76,40 +85,80 @@ class Numbers(dict):
         return n
 
 
+class WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(self) < REMEMBERED:
+            self[word] = h
+        return h
+
+
+_HASHES = WordHashes()
+
+
+def copy_mark(text: str | None) -> int:
+    """Smallest hash of the word triples of a text, alike for near copies."""
+    words = (text or "").lower().split()
+    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    if len(h) < 3:
+        return xxhash.xxh64_intdigest(h.tobytes()) >> 1
+    mixed = (h[:-2] * np.uint64(3) ^ h[1:-1]) * np.uint64(5) ^ h[2:]
+    mixed = mixed * np.uint64(0x9E3779B97F4A7C15)
+    return int((mixed ^ mixed >> np.uint64(32)).min()) >> 1
+
+
+def votes(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, vote) of the learnable labelled rows."""
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mark = pa.array([copy_mark(t) for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), mark], ["doc_id", "mark"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    marked = documents.where(learnable()).select("doc_id", "text").mapInArrow(marks, f"doc_id {kind}, mark long")
+    usable = labels.where(learnable() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = staged(usable.join(marked.groupBy("doc_id").agg(F.min("mark").alias("mark")), "doc_id"), "copy-marks")
+    shared = known.groupBy("mark", "toxic").agg((1 / F.count(F.lit(1))).alias("vote"))
+    return known.join(shared, ["mark", "toxic"]).select("doc_id", "toxic", "vote")
+
+
 def feature_counts(documents: DataFrame, labels: DataFrame) -> np.ndarray:
     """Counts CLASSES x SLOTS of documents by the words they hold. labels: (doc_id, toxic)."""
-    usable = labels.where(learnable()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumnRenamed("doc_id", "_label_id")
-    marked = documents.join(usable, documents["doc_id"] == usable["_label_id"], "left").select(
-        "text", (fold() * 2 + F.when(F.col("toxic") == 1, 1).otherwise(2) + F.col("toxic") * 0).cast("int").alias("kind"))
+    cast = staged(votes(documents, labels).withColumnRenamed("doc_id", "_label_id"), "votes")
+    kind = (fold() * 2 + F.when(F.col("toxic") == 1, 1).when(F.col("toxic").isNotNull(), 2)).cast("int")
+    marked = documents.join(cast, documents["doc_id"] == cast["_label_id"], "left").select("text", kind.alias("kind"), "vote")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, table = Numbers(), np.zeros((CLASSES, SLOTS), np.int64)
-        counts = [np.zeros(0, np.int64)] * CLASSES
+        numbers, table = Numbers(), np.zeros((CLASSES, SLOTS))
+        counts = [np.zeros(0)] * CLASSES
 
         def settle() -> None:
             slots = np.array([feature_slots(w) for w in numbers], np.int64)
             for k in range(CLASSES):
                 mine = np.pad(counts[k], (0, len(numbers) - len(counts[k])))
                 some = np.flatnonzero(mine)
-                for f in range(3):
-                    table[k] += np.bincount(slots[some, f], mine[some], SLOTS).astype(np.int64)
+                for f in range(slots.shape[1]):
+                    table[k] += np.bincount(slots[some, f], mine[some], SLOTS)
             numbers.clear()
 
         for batch in batches:
             seen: list[list[int]] = [[] for _ in range(CLASSES)]
-            for text, kind in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist()):
+            shares: list[list[float]] = [[] for _ in range(CLASSES)]
+            for text, kind, vote in zip(*(batch.column(c).to_pylist() for c in ("text", "kind", "vote"))):
                 if text:
                     ids = [numbers[w] for w in set(text.lower().split())]
                     seen[0] += ids
                     if kind is not None:
                         seen[kind] += ids
+                        shares[kind] += [vote] * len(ids)
             for k in range(CLASSES):
-                more = np.bincount(np.array(seen[k], np.int64), minlength=len(numbers))
+                more = np.bincount(np.array(seen[k], np.int64), np.array(shares[k]) if k else np.ones(len(seen[0])), len(numbers))
                 more[:len(counts[k])] += counts[k]
                 counts[k] = more
             if len(numbers) > FLUSH:
                 settle()
-                counts = [np.zeros(0, np.int64)] * CLASSES
+                counts = [np.zeros(0)] * CLASSES
         if numbers:
             settle()
         for page in range(SLOTS // PAGE):
@@ -117,34 +166,36 @@ def feature_counts(documents: DataFrame, labels: DataFrame) -> np.ndarray:
             some = np.flatnonzero(part[0])
             if len(some):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([page], pa.int32()), pa.array([some.astype("<u2").tobytes()], pa.binary()), pa.array([part[:, some].astype("<i8").tobytes()], pa.binary())], ["page", "at", "counts"])
+                    [pa.array([page], pa.int32()), pa.array([some.astype("<u2").tobytes()], pa.binary()), pa.array([part[:, some].astype("<f4").tobytes()], pa.binary())], ["page", "at", "counts"])
 
     def merged(group: pa.Table) -> pa.Table:
-        total = np.zeros((CLASSES, PAGE), np.int64)
+        total = np.zeros((CLASSES, PAGE))
         for at, counts in zip(group.column("at").to_pylist(), group.column("counts").to_pylist()):
             spots = np.frombuffer(at, "<u2")
-            total[:, spots] += np.frombuffer(counts, "<i8").reshape(CLASSES, len(spots))
-        return pa.table({"page": pa.array([group.column("page")[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+            total[:, spots] += np.frombuffer(counts, "<f4").reshape(CLASSES, len(spots))
+        return pa.table({"page": pa.array([group.column("page")[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<f8").tobytes()], pa.binary())})
 
     pages = marked.mapInArrow(counted, "page int, at binary, counts binary").groupBy("page").applyInArrow(merged, "page int, counts binary")
-    whole = np.zeros((CLASSES, SLOTS), np.int64)
+    whole = np.zeros((CLASSES, SLOTS))
     for row in pages.toLocalIterator():
-        whole[:, row["page"] * PAGE:(row["page"] + 1) * PAGE] = np.frombuffer(bytes(row["counts"]), "<i8").reshape(CLASSES, PAGE)
+        whole[:, row["page"] * PAGE:(row["page"] + 1) * PAGE] = np.frombuffer(bytes(row["counts"]), "<f8").reshape(CLASSES, PAGE)
     return whole
 
 
 def slot_weights(counts: np.ndarray) -> np.ndarray:
-    """Cautious log-odds of every slot: learned from both folds, without fold 0, without fold 1."""
-    corpus = counts[0].astype(float)
+    """Cautious log-odds of every slot, NaN where too little is known: learned from both folds,
+    without fold 0, without fold 1."""
+    corpus = counts[0]
 
     def odds(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
         prior = FLAT + PRIOR * (toxic.sum() + other.sum()) * corpus / max(1.0, corpus.sum())
         whole = prior.sum()
         a, b = toxic + prior, other + prior
         ratio = np.log(a / (toxic.sum() + whole - a)) - np.log(b / (other.sum() + whole - b))
-        return (ratio - CAUTION * np.sqrt(1 / a + 1 / b)).astype(np.float32)
+        known = toxic + other >= ENOUGH
+        return np.where(known, ratio - CAUTION * np.sqrt(1 / a + 1 / b), np.nan).astype(np.float32)
 
-    t0, o0, t1, o1 = counts[1:].astype(float)
+    t0, o0, t1, o1 = counts[1:]
     return np.stack([odds(t0 + t1, o0 + o1), odds(t1, o1), odds(t0, o0)])
 
 
@@ -155,8 +206,9 @@ class Weights(dict):
         self.slots = slots
 
     def __missing__(self, word: str) -> float:
-        best = max(float(self.slots[s]) for s in feature_slots(word))
-        score = min(CEILING, max(FLOOR, best)) - DRIFT
+        both = self.slots[list(feature_slots(word))].reshape(-1, 2).min(1)  # NaN if one is
+        told = both[~np.isnan(both)]
+        score = (min(CEILING, max(FLOOR, float(told[0]))) if len(told) else FLOOR) - DRIFT
         if len(self) < REMEMBERED:
             self[word] = score
         return score
@@ -217,7 +269,14 @@ def _weights_of(slots: Broadcast) -> list[Weights]:
 
 
 def word_scores(words: list[str], weights: Weights) -> np.ndarray:
-    return np.fromiter(map(weights.__getitem__, words), np.float64, len(words))
+    """Scores of the words of a text; a positive word counts where it first stands."""
+    scores = np.fromiter(map(weights.__getitem__, words), np.float64, len(words))
+    seen = set()
+    for i in np.flatnonzero(scores > 0).tolist():
+        if words[i] in seen:
+            scores[i] = -DRIFT
+        seen.add(words[i])
+    return scores
 
 
 def significant_score(n: int, rate: float, scale: float) -> float:
