@@ -34,3 +34,15 @@ def global_order(df: DataFrame, order: list[Column], name: str, label: str) -> D
     mask = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return kept.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(
         name, F.col("_before") + mask).drop("_at", "_part", "_before")
+
+
+_KEPT: dict = {}
+
+
+def worker_kept(key, build):
+    """Something a Python worker keeps from task to task, such as words already looked up. Only
+    the last one asked for is kept, so the memory of one worker holds one of them."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import worker_kept
 from folioscope.session import staged
 
 WINDOW, SHORTEST, MAX_FILTER_BITS = 15, 5, 30
@@ -52,12 +53,13 @@ class WordHashes(dict):
         return h
 
 
-_HASHES = WordHashes()
+def word_hashes() -> WordHashes:
+    return worker_kept("word hashes", WordHashes)
 
 
 def hashed_words(text: str | None) -> np.ndarray:
     words = WORDS.findall((text or "").lower())
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
 
 
 def seed_keys(words: np.ndarray, mask: int) -> np.ndarray:
@@ -147,12 +149,12 @@ def seed_hits(documents: DataFrame, filter_bytes: np.ndarray, bits: int, masks:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 33
-        flags = shared.value
+        flags, hashes = shared.value, word_hashes()
         for batch in batches:
             found = [WORDS.findall(t.lower()) if t else [] for t in batch.column("text").to_pylist()]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             ends = np.cumsum(lengths)
-            everything = np.fromiter((_HASHES[w] for doc in found for w in doc), np.uint64, int(lengths.sum()))
+            everything = np.fromiter((hashes[w] for doc in found for w in doc), np.uint64, int(lengths.sum()))
             at, keys = [], []
             for mask in masks:
                 key = seed_keys(everything, mask)

@@ -27,6 +27,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from folioscope.llm.common import worker_kept
+
 MARK = "▁"
 REMEMBERED = 600_000
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
@@ -106,22 +108,12 @@ class MergeCounter(dict):
         return sum(self[u[1:]] for u in UNIT.findall(marked))
 
 
-_COUNTERS: dict[str, MergeCounter] = {}
-
-
-def counter_for(model_path: str) -> MergeCounter:
-    """The counter of this Python worker, kept from task to task."""
-    if model_path not in _COUNTERS:
-        _COUNTERS[model_path] = MergeCounter(model_path)
-    return _COUNTERS[model_path]
-
-
 def token_counts(documents: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every document. model_path: a piece model that
     executors find under the same path."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_for(model_path)
+        counter = worker_kept(("pieces", model_path), lambda: MergeCounter(model_path))
         for batch in batches:
             texts = batch.column("text")
             tokens = pa.array([counter.text(t) if t else 0 for t in texts.to_pylist()], pa.int64())

@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.llm.common import worker_kept
 from folioscope.session import scratch_path
 
 END_ID = 0
 SHARD_TOKENS = 1 << 21
 BLOCK = 512
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 
 def _byte_characters() -> dict[int, str]:
@@ -50,7 +51,7 @@ class WordEncoder(dict):
     between letters, falls into its words; all other parts, and texts with an added token,
     take the library's whole way. Parts are remembered by the Python worker, up to `REMEMBERED`."""
 
-    CUT = re.compile(r" (?=\S)")
+    CUT = re.compile(r"(?= \S)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,37 +61,35 @@ class WordEncoder(dict):
         self.model._resize_cache(0)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bytes = _byte_characters()
-        self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def word(self, word: str) -> bytes:
-        ids = self.words.get(word)
+    def __missing__(self, part: str) -> bytes:
+        bare = part[1:] if part[:1] == " " else part
+        ids = self.word(part) if bare.isalpha() or len(part) == 1 else self.words_of(part)
         if ids is None:
-            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.bytes))
-            ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
-            if len(self.words) < REMEMBERED:
-                self.words[word] = ids
+            ids = self.whole(part)
+        if len(self) < REMEMBERED:
+            self[part] = ids
         return ids
 
-    def __missing__(self, part: str) -> bytes:
-        bare = part[1:] if part[:1] == " " else part
-        if bare.isalpha():
-            return self.word(part)  # remembered there
+    def word(self, word: str) -> bytes:
+        """One word of the pattern."""
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.bytes))
+        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+
+    def words_of(self, part: str) -> bytes | None:
+        """A part made of letters, single marks behind them and single line ends between."""
         found = []
         for i, line in enumerate(part.split("\n")):
             last = line[-1:]
             body = line if last.isalpha() else line[:-1]
             letters = body[1:] if not i and body[:1] == " " else body
             if not letters.isalpha() or not (last.isalpha() or last in ",.;:!?"):
-                found = None
-                break
-            found += [self.word("\n")] * (i > 0) + [self.word(body)] + ([] if last.isalpha() else [self.word(last)])
-        ids = self.whole(part) if found is None else b"".join(found)
-        if len(self) < REMEMBERED:
-            self[part] = ids
-        return ids
+                return None
+            found += [self["\n"]] * (i > 0) + [self[body]] + ([] if last.isalpha() else [self[last]])
+        return b"".join(found)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -98,18 +97,7 @@ class WordEncoder(dict):
             return b""
         if any(a in text for a in self.added):
             return self.whole(text)
-        first, *rest = self.CUT.split(text)
-        return self[first] + b"".join([self[" " + x] for x in rest])
-
-
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def encoder_for(path: str) -> WordEncoder:
-    """The encoder of this Python worker, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+        return b"".join(map(self.__getitem__, self.CUT.split(text)))
 
 
 class WaveletMatrix:
@@ -211,7 +199,7 @@ def write_shards(documents: DataFrame, tokenizer: str, path: str, end_id: int =
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = encoder_for(tokenizer)
+        encoder = worker_kept(("ids", tokenizer), lambda: WordEncoder(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
         held, ids, lengths, size, number = [], [], [], 0, 0
 
