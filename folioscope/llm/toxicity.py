@@ -32,6 +32,9 @@ table gives no row; other columns are ignored by `scored` and kept by `clean`.
 from __future__ import annotations
 
 import math
+import string
+import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,14 +45,17 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import worker_kept
+from folioscope.llm.decontam import word_hashes
 from folioscope.session import staged
 
 SLOTS, PAGE, ENOUGH = 1 << 21, 1 << 13, 5
 PRIOR, FLAT, CAUTION, FLOOR, DRIFT, CEILING = 0.002, 0.5, 2.0, -1.0, 0.1, 8.0
 CLASSES = 5  # all; toxic and other of fold 0; toxic and other of fold 1
 SIGNIFICANT = 0.05
-REMEMBERED, FLUSH = 500_000, 300_000
+REMEMBERED, FLUSH = 700_000, 300_000
 REJECT = 0.7
+MARKS = string.punctuation + "«»“”‘’„…—–¡¿"
 
 
 def learnable() -> Column:
@@ -61,20 +67,17 @@ def fold() -> Column:
     return F.floor(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) / 3) % 2
 
 
-def feature_slots(word: str) -> tuple[int, ...]:
-    """Two slots each of a word, its first five and its first four characters; marks at its ends
-    don't count."""
-    bare = word
-    while bare and not bare[-1].isalnum():
-        bare = bare[:-1]
-    while bare and not bare[0].isalnum():
-        bare = bare[1:]
-    bare = bare or word
-    slots = []
-    for kind, feature in enumerate((bare, bare[:5], bare[:4])):
-        h = xxhash.xxh64_intdigest(feature.encode("utf-8", "surrogatepass"), kind)
-        slots += [h % (SLOTS // 2), SLOTS // 2 + (h >> 32) % (SLOTS // 2)]
-    return tuple(slots)
+def feature_hashes(word: str) -> tuple[int, int, int]:
+    """Hashes of a word, its first five and its first four characters, without marks at its ends."""
+    bare = word.strip(MARKS) or word
+    digest = xxhash.xxh64_intdigest
+    return digest(bare.encode("utf-8", "surrogatepass"), 1), digest(bare[:5].encode("utf-8", "surrogatepass"), 2), digest(bare[:4].encode("utf-8", "surrogatepass"), 3)
+
+
+def slots_of(hashes: np.ndarray) -> np.ndarray:
+    """The two slots of each hash, on a new last axis."""
+    half = np.uint64(SLOTS // 2)
+    return np.stack([hashes % half, half + (hashes >> np.uint64(32)) % half], -1).astype(np.int64)
 
 
 class Numbers(dict):
@@ -85,21 +88,10 @@ class Numbers(dict):
         return n
 
 
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < REMEMBERED:
-            self[word] = h
-        return h
-
-
-_HASHES = WordHashes()
-
-
 def copy_mark(text: str | None) -> int:
     """Smallest hash of the word triples of a text, alike for near copies."""
     words = (text or "").lower().split()
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
     if len(h) < 3:
         return xxhash.xxh64_intdigest(h.tobytes()) >> 1
     mixed = (h[:-2] * np.uint64(3) ^ h[1:-1]) * np.uint64(5) ^ h[2:]
@@ -134,7 +126,7 @@ def feature_counts(documents: DataFrame, labels: DataFrame) -> np.ndarray:
         counts = [np.zeros(0)] * CLASSES
 
         def settle() -> None:
-            slots = np.array([feature_slots(w) for w in numbers], np.int64)
+            slots = slots_of(np.array([feature_hashes(w) for w in numbers], np.uint64)).reshape(len(numbers), -1)
             for k in range(CLASSES):
                 mine = np.pad(counts[k], (0, len(numbers) - len(counts[k])))
                 some = np.flatnonzero(mine)
@@ -176,7 +168,7 @@ def feature_counts(documents: DataFrame, labels: DataFrame) -> np.ndarray:
         return pa.table({"page": pa.array([group.column("page")[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<f8").tobytes()], pa.binary())})
 
     pages = marked.mapInArrow(counted, "page int, at binary, counts binary").groupBy("page").applyInArrow(merged, "page int, counts binary")
-    whole = np.zeros((CLASSES, SLOTS))
+    whole = np.zeros((CLASSES, SLOTS), np.float32)
     for row in pages.toLocalIterator():
         whole[:, row["page"] * PAGE:(row["page"] + 1) * PAGE] = np.frombuffer(bytes(row["counts"]), "<f8").reshape(CLASSES, PAGE)
     return whole
@@ -184,34 +176,61 @@ def feature_counts(documents: DataFrame, labels: DataFrame) -> np.ndarray:
 
 def slot_weights(counts: np.ndarray) -> np.ndarray:
     """Cautious log-odds of every slot, NaN where too little is known: learned from both folds,
-    without fold 0, without fold 1."""
-    corpus = counts[0]
-
-    def odds(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
-        prior = FLAT + PRIOR * (toxic.sum() + other.sum()) * corpus / max(1.0, corpus.sum())
-        whole = prior.sum()
-        a, b = toxic + prior, other + prior
-        ratio = np.log(a / (toxic.sum() + whole - a)) - np.log(b / (other.sum() + whole - b))
-        known = toxic + other >= ENOUGH
-        return np.where(known, ratio - CAUTION * np.sqrt(1 / a + 1 / b), np.nan).astype(np.float32)
-
-    t0, o0, t1, o1 = counts[1:]
-    return np.stack([odds(t0 + t1, o0 + o1), odds(t1, o1), odds(t0, o0)])
-
-
-class Weights(dict):
-    """word -> score, from the slots' weights."""
+    without fold 0, without fold 1. Worked through in pages to need little memory."""
+    totals = counts.sum(1, dtype=np.float64)
+    out = np.empty((3, counts.shape[1]), np.float32)
+    for row, (toxic_at, other_at) in enumerate((([1, 3], [2, 4]), ([3], [4]), ([1], [2]))):
+        toxic_all, other_all = totals[toxic_at].sum(), totals[other_at].sum()
+        strength = PRIOR * (toxic_all + other_all)
+        whole = FLAT * counts.shape[1] + strength
+        for at in range(0, counts.shape[1], 1 << 17):
+            part = counts[:, at:at + (1 << 17)].astype(np.float64)
+            toxic, other = part[toxic_at].sum(0), part[other_at].sum(0)
+            prior = FLAT + strength * part[0] / max(1.0, totals[0])
+            a, b = toxic + prior, other + prior
+            ratio = np.log(a / (toxic_all + whole - a)) - np.log(b / (other_all + whole - b))
+            out[row, at:at + (1 << 17)] = np.where(toxic + other >= ENOUGH, ratio - CAUTION * np.sqrt(1 / a + 1 / b), np.nan)
+    return out
+
+
+class WordScores(dict):
+    """word -> number; `scores[k][number]` is its score by the k-th weights."""
 
     def __init__(self, slots: np.ndarray):
         self.slots = slots
+        self.scores = [array("f") for _ in slots]
 
-    def __missing__(self, word: str) -> float:
-        both = self.slots[list(feature_slots(word))].reshape(-1, 2).min(1)  # NaN if one is
-        told = both[~np.isnan(both)]
-        score = (min(CEILING, max(FLOOR, float(told[0]))) if len(told) else FLOOR) - DRIFT
-        if len(self) < REMEMBERED:
-            self[word] = score
-        return score
+    def __missing__(self, word: str) -> int:
+        places = [int(s) for h in feature_hashes(word) for s in (h % (SLOTS // 2), SLOTS // 2 + (h >> 32) % (SLOTS // 2))]
+        for weights, scores in zip(self.slots, self.scores):
+            best = FLOOR
+            for k in (0, 2, 4):
+                one, two = weights.item(places[k]), weights.item(places[k + 1])
+                if one == one and two == two:  # neither is NaN
+                    best = min(CEILING, max(FLOOR, min(one, two)))
+                    break
+            scores.append(best - DRIFT)
+        self[word] = n = len(self)
+        return n
+
+    def of(self, words: list[str], *kinds: int) -> list[np.ndarray]:
+        """Scores of the words of a text by some of the weights; a positive word counts where it
+        first stands."""
+        if len(self) > REMEMBERED:
+            self.clear()
+            self.scores = [array("f") for _ in self.slots]
+        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return [once(np.frombuffer(self.scores[k], np.float32)[ids].astype(np.float64) if len(ids) else np.zeros(0), ids) for k in kinds]
+
+
+def once(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Positive scores at the first place of each word only."""
+    at = np.flatnonzero(scores > 0)
+    if len(at) > 1:
+        again = np.ones(len(at), bool)
+        again[np.unique(ids[at], return_index=True)[1]] = False
+        scores[at[again]] = -DRIFT
+    return scores
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
@@ -242,8 +261,8 @@ class ToxicityModel:
     slope: float
     offset: float
 
-    def weights(self) -> Weights:
-        return _weights_of(self.slots)[0]
+    def weights(self) -> WordScores:
+        return scores_of(self.slots)
 
     def evidence(self, n: int, segments: list[tuple[float, int, int]]) -> float:
         """Sum over the significant segments of how far each lies beyond chance."""
@@ -253,30 +272,13 @@ class ToxicityModel:
         """Significant passages of a text: (score, first word, word after the last)."""
         words = text.lower().split()
         bound = significant_score(len(words), self.rate, self.scale)
-        return [s for s in maximal_segments(word_scores(words, self.weights())) if s[0] >= bound]
-
+        return [s for s in maximal_segments(self.weights().of(words, 0)[0]) if s[0] >= bound]
 
-_WEIGHTS: dict[int, list[Weights]] = {}
 
-
-def _weights_of(slots: Broadcast) -> list[Weights]:
-    """The word scores of this Python worker, kept from task to task for one broadcast."""
-    key = id(slots.value)
-    if key not in _WEIGHTS:
-        _WEIGHTS.clear()
-        _WEIGHTS[key] = [Weights(w) for w in slots.value]
-    return _WEIGHTS[key]
-
-
-def word_scores(words: list[str], weights: Weights) -> np.ndarray:
-    """Scores of the words of a text; a positive word counts where it first stands."""
-    scores = np.fromiter(map(weights.__getitem__, words), np.float64, len(words))
-    seen = set()
-    for i in np.flatnonzero(scores > 0).tolist():
-        if words[i] in seen:
-            scores[i] = -DRIFT
-        seen.add(words[i])
-    return scores
+def scores_of(slots: Broadcast) -> WordScores:
+    """The word scores a Python worker keeps for one broadcast."""
+    name, weights = slots.value
+    return worker_kept(name, lambda: WordScores(weights))
 
 
 def significant_score(n: int, rate: float, scale: float) -> float:
@@ -294,14 +296,15 @@ def text_segments(documents: DataFrame, slots: Broadcast) -> DataFrame:
     rows, cross: the same by the weights of the other fold."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = _weights_of(slots)
+        weights = scores_of(slots)
         for batch in batches:
             sizes, scores, cross = [], [], []
             for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist()):
                 words = (text or "").lower().split()
                 sizes.append(len(words))
-                scores.append([s for s, _, _ in maximal_segments(word_scores(words, weights[0]))])
-                cross.append(None if part is None else [s for s, _, _ in maximal_segments(word_scores(words, weights[1 + part]))])
+                found = [[s for s, _, _ in maximal_segments(x)] for x in weights.of(words, 0, *([] if part is None else [1 + part]))]
+                scores.append(found[0])
+                cross.append(found[1] if len(found) > 1 else None)
             kind = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(scores, kind), pa.array(cross, kind)], ["doc_id", "n", "scores", "cross"])
 
@@ -365,7 +368,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[ToxicityModel, DataFra
     """The model and the segments of every document (doc_id, n, scores; written once)."""
     spark = documents.sparkSession
     weights = slot_weights(feature_counts(documents, labels))
-    slots = spark.sparkContext.broadcast(weights)
+    slots = spark.sparkContext.broadcast((f"toxic words {uuid.uuid4()}", weights))
     segments = staged(text_segments(documents, slots), "segments")
     usable = labels.where(learnable()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IS NOT NULL")
     known = staged(segments.join(usable, "doc_id").withColumn("scores", F.col("cross")), "known-segments")
@@ -394,7 +397,7 @@ def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
         weights, out = model.weights(), []
         for text in texts.to_pylist():
             words = (text or "").lower().split()
-            out.append(model.evidence(len(words), maximal_segments(word_scores(words, weights))))
+            out.append(model.evidence(len(words), maximal_segments(weights.of(words, 0)[0])))
         return pa.array(out, pa.float64())
 
     return documents.where(probability(model, evidence("text")) < REJECT)
