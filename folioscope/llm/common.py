@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,19 @@ def global_order(df: DataFrame, order: list[Column], name: str, label: str) -> D
         name, F.col("_before") + mask).drop("_at", "_part", "_before")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few texts are Python objects at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def texts_of(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The values of a column, few of them Python objects at once."""
+    for start in range(0, len(column), rows):
+        yield from column.slice(start, rows).to_pylist()
+
+
 _KEPT: dict = {}
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import worker_kept
+from folioscope.llm.common import sliced, worker_kept
 from folioscope.session import staged
 
 WINDOW, SHORTEST, MAX_FILTER_BITS = 15, 5, 30
@@ -87,7 +87,7 @@ def item_keys(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain = staged(items.select("item_id", "text").withColumn("item", F.monotonically_increasing_id()), "items")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [hashed_words(t).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("item"), pa.array(found, pa.list_(pa.int64()))], ["item_id", "item", "words"])
 
@@ -95,7 +95,7 @@ def item_keys(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     hashed = staged(plain.mapInArrow(words, f"item_id {kind}, item long, words array<long>"), "item-words")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for item, listed in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist()):
                 seq = np.array(listed, np.int64).view(np.uint64)
                 for low, high, masks in MASKS:
@@ -120,7 +120,7 @@ def bloom(keys: DataFrame, bits: int) -> np.ndarray:
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             seq = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for places in _places(seq, bits):
                 for number in np.unique(places >> np.uint64(page)).tolist():
@@ -150,7 +150,7 @@ def seed_hits(documents: DataFrame, filter_bytes: np.ndarray, bits: int, masks:
 
         number = TaskContext.get().partitionId() << 33
         flags, hashes = shared.value, word_hashes()
-        for batch in batches:
+        for batch in sliced(batches):
             found = [WORDS.findall(t.lower()) if t else [] for t in batch.column("text").to_pylist()]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             ends = np.cumsum(lengths)
@@ -195,7 +195,7 @@ def seed_hits(documents: DataFrame, filter_bytes: np.ndarray, bits: int, masks:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "mark", "item_id", "matched", "item_words", "word_start", "word_end"]
-    for batch in batches:
+    for batch in sliced(batches):
         rows = []
         for i, (start, diagonal, ours, theirs) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("start", "diagonal", "words", "item_words")))):
             a, b = np.array(ours), np.array(theirs)

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import sliced
 from folioscope.session import staged
 
 LEAST, DRAWN = 0.3, 10
@@ -222,7 +223,7 @@ def style_trees(pages: DataFrame) -> DataFrame:
     """(host, path, importance) of every node of every host's merged tree."""
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [(h, xxhash.xxh64_intdigest(page) >> 1, *n) for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()) if page for n in page_nodes(page)]
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "page", "path", "presentation", "content"])
@@ -255,7 +256,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     joined = joined.join(low, F.col("_own_host") == F.col("_host"), "left").select("page_id", "url", "html", "low")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [main_text(page, set(low or ())) if page else "" for page, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import sliced
+
 SYMBOLS = b"#*$%&|<>"
 BLANK_BYTES = b" \t\n\x0b\f\r"
 
@@ -79,7 +81,7 @@ def ledger(documents: DataFrame) -> DataFrame:
     """doc_id, the measurements and failed_bits of every document."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [measure(t) for t in batch.column("text").to_pylist()]
             columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *MEASURES])

@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.llm.common import texts_of
 from folioscope.session import staged
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -68,7 +69,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 @F.arrow_udf(T.LongType())
 def fingerprint_column(texts: pa.Array) -> pa.Array:
     """Fingerprints with their 64 bits in a signed long."""
-    return pa.array(np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64))
+    return pa.array(np.array([fingerprint(t) for t in texts_of(texts)], np.uint64).view(np.int64))
 
 
 def embedded(fp: Column) -> Column:

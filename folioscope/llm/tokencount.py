@@ -27,10 +27,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from folioscope.llm.common import worker_kept
+from folioscope.llm.common import sliced, worker_kept
 
 MARK = "▁"
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -114,7 +114,7 @@ def token_counts(documents: DataFrame, model_path: str, limit: int = 4096) -> Da
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_kept(("pieces", model_path), lambda: MergeCounter(model_path))
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text")
             tokens = pa.array([counter.text(t) if t else 0 for t in texts.to_pylist()], pa.int64())
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())

@@ -45,7 +45,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import worker_kept
+from folioscope.llm.common import sliced, texts_of, worker_kept
 from folioscope.llm.decontam import word_hashes
 from folioscope.session import staged
 
@@ -53,7 +53,7 @@ SLOTS, PAGE, ENOUGH = 1 << 21, 1 << 13, 5
 PRIOR, FLAT, CAUTION, FLOOR, DRIFT, CEILING = 0.002, 0.5, 2.0, -1.0, 0.1, 8.0
 CLASSES = 5  # all; toxic and other of fold 0; toxic and other of fold 1
 SIGNIFICANT = 0.05
-REMEMBERED, FLUSH = 700_000, 300_000
+REMEMBERED, FLUSH = 400_000, 150_000
 REJECT = 0.7
 MARKS = string.punctuation + "«»“”‘’„…—–¡¿"
 
@@ -103,7 +103,7 @@ def votes(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, toxic, vote) of the learnable labelled rows."""
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             mark = pa.array([copy_mark(t) for t in batch.column("text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), mark], ["doc_id", "mark"])
 
@@ -122,7 +122,7 @@ def feature_counts(documents: DataFrame, labels: DataFrame) -> np.ndarray:
     marked = documents.join(cast, documents["doc_id"] == cast["_label_id"], "left").select("text", kind.alias("kind"), "vote")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, table = Numbers(), np.zeros((CLASSES, SLOTS))
+        numbers, table = Numbers(), np.zeros((CLASSES, SLOTS), np.float32)
         counts = [np.zeros(0)] * CLASSES
 
         def settle() -> None:
@@ -131,10 +131,10 @@ def feature_counts(documents: DataFrame, labels: DataFrame) -> np.ndarray:
                 mine = np.pad(counts[k], (0, len(numbers) - len(counts[k])))
                 some = np.flatnonzero(mine)
                 for f in range(slots.shape[1]):
-                    table[k] += np.bincount(slots[some, f], mine[some], SLOTS)
+                    np.add.at(table[k], slots[some, f], mine[some].astype(np.float32))
             numbers.clear()
 
-        for batch in batches:
+        for batch in sliced(batches):
             seen: list[list[int]] = [[] for _ in range(CLASSES)]
             shares: list[list[float]] = [[] for _ in range(CLASSES)]
             for text, kind, vote in zip(*(batch.column(c).to_pylist() for c in ("text", "kind", "vote"))):
@@ -297,7 +297,7 @@ def text_segments(documents: DataFrame, slots: Broadcast) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = scores_of(slots)
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, scores, cross = [], [], []
             for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist()):
                 words = (text or "").lower().split()
@@ -395,7 +395,7 @@ def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     @F.arrow_udf("double")
     def evidence(texts: pa.Array) -> pa.Array:
         weights, out = model.weights(), []
-        for text in texts.to_pylist():
+        for text in texts_of(texts):
             words = (text or "").lower().split()
             out.append(model.evidence(len(words), maximal_segments(weights.of(words, 0)[0])))
         return pa.array(out, pa.float64())

@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import worker_kept
+from folioscope.llm.common import sliced, worker_kept
 from folioscope.session import scratch_path
 
 END_ID = 0
 SHARD_TOKENS = 1 << 21
 BLOCK = 512
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 
 
 def _byte_characters() -> dict[int, str]:
@@ -210,7 +210,7 @@ def write_shards(documents: DataFrame, tokenizer: str, path: str, end_id: int =
                    pa.array([planes], pa.list_(pa.binary())), pa.array([zeros], pa.list_(pa.int64())), pa.array([ranks], pa.list_(pa.binary()))]
             return pa.RecordBatch.from_arrays(row, ["part", "shard", "n_tokens", "doc_ids", "doc_lengths", "planes", "zeros", "ranks"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 code = encoder.encode(text) + end
                 n = len(code) // 4
