@@ -145,9 +145,10 @@ def feature_counts(documents: DataFrame, labels: DataFrame) -> np.ndarray:
                         seen[kind] += ids
                         shares[kind] += [vote] * len(ids)
             for k in range(CLASSES):
-                more = np.bincount(np.array(seen[k], np.int64), np.array(shares[k]) if k else np.ones(len(seen[0])), len(numbers))
-                more[:len(counts[k])] += counts[k]
-                counts[k] = more
+                if len(counts[k]) < len(numbers):
+                    counts[k] = np.pad(counts[k], (0, len(numbers) - len(counts[k])))
+                if seen[k]:
+                    np.add.at(counts[k], np.array(seen[k], np.int64), np.array(shares[k]) if k else 1.0)
             if len(numbers) > FLUSH:
                 settle()
                 counts = [np.zeros(0)] * CLASSES
