@@ -39,6 +39,18 @@ def global_order(df: DataFrame, order: list[Column], name: str, label: str) -> D
         name, F.col("_before") + mask).drop("_at", "_part", "_before")
 
 
+BATCH_ROWS, BATCH_CONF = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after holding the session's Arrow batches to BATCH_ROWS rows (smaller ones stay): with
+    whole texts as rows, the default of 10,000 takes hundreds of MB beside each task's heap."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(BATCH_CONF, BATCH_ROWS)
+    return df
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that few texts are Python objects at once."""
     for batch in batches:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import sliced, worker_kept
+from folioscope.llm.common import bounded_batches, sliced, worker_kept
 from folioscope.session import staged
 
 WINDOW, SHORTEST, MAX_FILTER_BITS = 15, 5, 30
@@ -42,7 +42,7 @@ ALL_MASKS = [m for _, _, masks in MASKS for m in masks]
 SPAN = max(map(len, ALL_MASKS))
 
 WORDS = re.compile(r"\w+")
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 class WordHashes(dict):
@@ -189,7 +189,7 @@ def seed_hits(documents: DataFrame, filter_bytes: np.ndarray, bits: int, masks:
             ], ["place", "doc_id", "mark", "start", "words", "hits"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    marked = documents.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    marked = bounded_batches(documents).select("doc_id", "text", F.xxhash64("text").alias("mark"))
     return marked.mapInArrow(stretches, f"place long, doc_id {kind}, mark long, start long, words array<long>, hits array<struct<offset: int, key: long>>")
 
 

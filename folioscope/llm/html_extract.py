@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import sliced
+from folioscope.llm.common import bounded_batches, sliced
 from folioscope.session import staged
 
 LEAST, DRAWN = 0.3, 10
@@ -228,7 +228,7 @@ def style_trees(pages: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "page", "path", "presentation", "content"])
 
-    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(nodes, "host string, page long, path long, presentation long, content long")
+    rows = bounded_batches(pages).select(host(F.col("url")).alias("host"), "html").mapInArrow(nodes, "host string, page long, path long, presentation long, content long")
     seen = rows.distinct()
 
     def spread(value: str) -> DataFrame:

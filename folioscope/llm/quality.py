@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import sliced
+from folioscope.llm.common import bounded_batches, sliced
 
 SYMBOLS = b"#*$%&|<>"
 BLANK_BYTES = b" \t\n\x0b\f\r"
@@ -87,7 +87,7 @@ def ledger(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *MEASURES])
 
     doc_type = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.select("doc_id", "text").mapInArrow(measured, f"doc_id {doc_type}, " + ", ".join(f"{m} long" for m in MEASURES))
+    rows = bounded_batches(documents).select("doc_id", "text").mapInArrow(measured, f"doc_id {doc_type}, " + ", ".join(f"{m} long" for m in MEASURES))
     bits = sum((F.when(F.expr(fails), bit).otherwise(0) for bit, fails in RULES.values()), F.lit(0))
     return rows.withColumn("failed_bits", bits.cast("int"))
 

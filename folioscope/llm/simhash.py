@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import texts_of
+from folioscope.llm.common import bounded_batches, texts_of
 from folioscope.session import staged
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -187,7 +187,7 @@ def clusters(prints: DataFrame) -> DataFrame:
 
 def near_clusters(documents: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of every document."""
-    return clusters(staged(documents.select("doc_id", fingerprint_column("text").alias("fp")), "doc-prints"))
+    return clusters(staged(bounded_batches(documents).select("doc_id", fingerprint_column("text").alias("fp")), "doc-prints"))
 
 
 def near_distinct(documents: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from folioscope.llm.common import sliced, worker_kept
+from folioscope.llm.common import bounded_batches, sliced, worker_kept
 
 MARK = "▁"
 REMEMBERED = 400_000
@@ -121,4 +121,4 @@ def token_counts(documents: DataFrame, model_path: str, limit: int = 4096) -> Da
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, tokens, pc.greater(tokens, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     doc_type = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(count, f"doc_id {doc_type}, n_bytes long, n_tokens long, over_limit boolean")
+    return bounded_batches(documents).select("doc_id", "text").mapInArrow(count, f"doc_id {doc_type}, n_bytes long, n_tokens long, over_limit boolean")

@@ -45,7 +45,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import sliced, texts_of, worker_kept
+from folioscope.llm.common import bounded_batches, sliced, texts_of, worker_kept
 from folioscope.llm.decontam import word_hashes
 from folioscope.session import staged
 
@@ -108,7 +108,7 @@ def votes(documents: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), mark], ["doc_id", "mark"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    marked = documents.where(learnable()).select("doc_id", "text").mapInArrow(marks, f"doc_id {kind}, mark long")
+    marked = bounded_batches(documents).where(learnable()).select("doc_id", "text").mapInArrow(marks, f"doc_id {kind}, mark long")
     usable = labels.where(learnable() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = staged(usable.join(marked.groupBy("doc_id").agg(F.min("mark").alias("mark")), "doc_id"), "copy-marks")
     shared = known.groupBy("mark", "toxic").agg((1 / F.count(F.lit(1))).alias("vote"))
@@ -122,6 +122,7 @@ def feature_counts(documents: DataFrame, labels: DataFrame) -> np.ndarray:
     marked = documents.join(cast, documents["doc_id"] == cast["_label_id"], "left").select("text", kind.alias("kind"), "vote")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_kept("counts", dict)
         numbers, table = Numbers(), np.zeros((CLASSES, SLOTS), np.float32)
         counts = [np.zeros(0)] * CLASSES
 

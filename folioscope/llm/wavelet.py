@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import sliced, worker_kept
+from folioscope.llm.common import bounded_batches, sliced, worker_kept
 from folioscope.session import scratch_path
 
 END_ID = 0
@@ -225,7 +225,7 @@ def write_shards(documents: DataFrame, tokenizer: str, path: str, end_id: int =
             yield flush()
 
     keys = [F.col("doc_id").asc_nulls_last(), F.col("tie"), F.col("text").asc_nulls_first()]
-    ranged = documents.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(*keys[:2]).sortWithinPartitions(*keys)
+    ranged = bounded_batches(documents).select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(*keys[:2]).sortWithinPartitions(*keys)
     ranged.mapInArrow(shards, _shard_schema(doc_field.simpleString())).write.option("parquet.block.size", 64 << 20).option("compression", "zstd").parquet(path)
 
 
