@@ -34,6 +34,7 @@ from __future__ import annotations
 import math
 import string
 import uuid
+import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -116,10 +117,19 @@ def votes(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def feature_counts(documents: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Counts CLASSES x SLOTS of documents by the words they hold. labels: (doc_id, toxic)."""
+    """Counts CLASSES x SLOTS of documents by the words they hold. labels: (doc_id, toxic). Only
+    texts of learnable rows are shuffled to their labels; the corpus is counted where it is read."""
     cast = staged(votes(documents, labels).withColumnRenamed("doc_id", "_label_id"), "votes")
-    kind = (fold() * 2 + F.when(F.col("toxic") == 1, 1).when(F.col("toxic").isNotNull(), 2)).cast("int")
-    marked = documents.join(cast, documents["doc_id"] == cast["_label_id"], "left").select("text", kind.alias("kind"), "vote")
+    kind = (fold() * 2 + F.when(F.col("toxic") == 1, 1).otherwise(2)).cast("int")
+    some = documents.where(learnable()).select("doc_id", "text")
+    known = some.join(cast.hint("merge"), some["doc_id"] == cast["_label_id"]).select("text", kind.alias("kind"), "vote")
+    corpus = documents.select("text", F.lit(0).alias("kind"), F.lit(1.0).alias("vote"))
+    return counted_features(corpus) + counted_features(known)
+
+
+def counted_features(rows: DataFrame) -> np.ndarray:
+    """Sums of vote over the texts that hold a feature, for each kind: CLASSES x SLOTS. rows:
+    (text, kind, vote)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_kept("counts", dict)
@@ -141,15 +151,13 @@ def feature_counts(documents: DataFrame, labels: DataFrame) -> np.ndarray:
             for text, kind, vote in zip(*(batch.column(c).to_pylist() for c in ("text", "kind", "vote"))):
                 if text:
                     ids = [numbers[w] for w in set(text.lower().split())]
-                    seen[0] += ids
-                    if kind is not None:
-                        seen[kind] += ids
-                        shares[kind] += [vote] * len(ids)
+                    seen[kind] += ids
+                    shares[kind] += [vote] * len(ids)
             for k in range(CLASSES):
                 if len(counts[k]) < len(numbers):
                     counts[k] = np.pad(counts[k], (0, len(numbers) - len(counts[k])))
                 if seen[k]:
-                    np.add.at(counts[k], np.array(seen[k], np.int64), np.array(shares[k]) if k else 1.0)
+                    np.add.at(counts[k], np.array(seen[k], np.int64), np.array(shares[k]))
             if len(numbers) > FLUSH:
                 settle()
                 counts = [np.zeros(0)] * CLASSES
@@ -157,19 +165,19 @@ def feature_counts(documents: DataFrame, labels: DataFrame) -> np.ndarray:
             settle()
         for page in range(SLOTS // PAGE):
             part = table[:, page * PAGE:(page + 1) * PAGE]
-            some = np.flatnonzero(part[0])
+            some = np.flatnonzero(part.any(0))
             if len(some):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([page], pa.int32()), pa.array([some.astype("<u2").tobytes()], pa.binary()), pa.array([part[:, some].astype("<f4").tobytes()], pa.binary())], ["page", "at", "counts"])
+                    [pa.array([page], pa.int32()), pa.array([zlib.compress(some.astype("<u2").tobytes(), 1)], pa.binary()), pa.array([zlib.compress(part[:, some].astype("<f4").tobytes(), 1)], pa.binary())], ["page", "at", "counts"])
 
     def merged(group: pa.Table) -> pa.Table:
         total = np.zeros((CLASSES, PAGE))
         for at, counts in zip(group.column("at").to_pylist(), group.column("counts").to_pylist()):
-            spots = np.frombuffer(at, "<u2")
-            total[:, spots] += np.frombuffer(counts, "<f4").reshape(CLASSES, len(spots))
+            spots = np.frombuffer(zlib.decompress(at), "<u2")
+            total[:, spots] += np.frombuffer(zlib.decompress(counts), "<f4").reshape(CLASSES, len(spots))
         return pa.table({"page": pa.array([group.column("page")[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<f8").tobytes()], pa.binary())})
 
-    pages = marked.mapInArrow(counted, "page int, at binary, counts binary").groupBy("page").applyInArrow(merged, "page int, counts binary")
+    pages = rows.mapInArrow(counted, "page int, at binary, counts binary").groupBy("page").applyInArrow(merged, "page int, counts binary")
     whole = np.zeros((CLASSES, SLOTS), np.float32)
     for row in pages.toLocalIterator():
         whole[:, row["page"] * PAGE:(row["page"] + 1) * PAGE] = np.frombuffer(bytes(row["counts"]), "<f8").reshape(CLASSES, PAGE)
