@@ -8,9 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest number of folds for which all sign patterns are counted.
-EXACT_FOLDS = 12
-
 
 def model_pairs(cv: DataFrame, metric: str) -> DataFrame:
     """(fold, m1, m2, v1, v2) for m1 < m2, paired by fold."""
@@ -23,8 +20,8 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
     """Two-sided signed-rank p per pair of models.
 
     Fewer than two folds, or values that are all close, give p = 1. Zero differences are
-    dropped. Up to `EXACT_FOLDS` differences the p-value counts all sign patterns of the
-    average ranks; above that it is the normal approximation.
+    dropped. The p-value is exact for any number of folds: the distribution of the rank sum
+    under random signs is built up rank by rank (doubled, so that average ranks are whole).
     """
     d = F.round(F.col("v1") - F.col("v2"), 12)
     close = F.abs(F.col("v1") - F.col("v2")) <= 1e-8 + 1e-5 * F.abs(F.col("v2"))
@@ -40,33 +37,22 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("w_plus"),
         F.collect_list(F.when(used, F.col("r"))).alias("ranks"),
     )
-    total = F.aggregate("ranks", F.lit(0.0), lambda acc, r: acc + r)
-    far = F.greatest(F.col("w_plus"), total - F.col("w_plus"))
+    doubled = F.transform("ranks", lambda r: F.round(2 * r).cast("int"))
+    per = per.withColumn("doubled", doubled).withColumn(
+        "total", F.aggregate("doubled", F.lit(0), lambda acc, r: acc + r))
+    plus = F.round(2 * F.col("w_plus")).cast("int")
+    far = F.greatest(plus, F.col("total") - plus)
+    none = F.transform(F.sequence(F.lit(0), F.col("total")), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
 
-    def pattern_sum(code):
-        return F.aggregate(
-            F.transform("ranks", lambda r, i: F.when(F.call_function("getbit", code, i) == 1, r).otherwise(0.0)),
-            F.lit(0.0), lambda acc, r: acc + r)
+    def with_rank(chances, r):
+        return F.transform(chances, lambda c, s: 0.5 * c + F.when(s >= r, 0.5 * F.get(chances, s - r)).otherwise(0.0))
 
-    patterns = F.sequence(F.lit(0).cast("bigint"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("n").cast("int")) - 1)
-    extreme = F.size(F.filter(patterns, lambda c: pattern_sum(c) >= far - 1e-9))
-    exact = F.least(F.lit(1.0), 2.0 * extreme / F.pow(F.lit(2.0), F.col("n")))
-    n = F.col("n").cast("double")
-    spread = F.sqrt(F.aggregate("ranks", F.lit(0.0), lambda acc, r: acc + r * r) / 4.0)
-    z = F.try_divide(F.abs(F.col("w_plus") - n * (n + 1) / 4.0), spread)
-    # Normal tail through the complementary error function, by its standard rational fit.
-    x = z / F.sqrt(F.lit(2.0))
-    t = 1.0 / (1.0 + 0.5 * x)
-    series = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807,
-              -1.13520398, 1.48851587, -0.82215223, 0.17087277]
-    poly = F.lit(series[-1])
-    for coefficient in reversed(series[:-1]):
-        poly = poly * t + coefficient
-    normal = t * F.exp(-x * x + poly)
+    tail = F.slice(F.aggregate("doubled", none, with_rank), far + 1, F.col("total") + 1)
+    exact = F.least(F.lit(1.0), 2.0 * F.aggregate(tail, F.lit(0.0), lambda acc, c: acc + c))
     return per.select(
         "m1", "m2",
         F.when((F.col("folds") < 2) | F.col("all_close") | (F.col("n") == 0), F.lit(1.0))
-        .when(F.col("n") <= EXACT_FOLDS, exact).otherwise(F.least(F.lit(1.0), normal)).alias("p"),
+        .otherwise(exact).alias("p"),
     )
 
 

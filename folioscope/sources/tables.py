@@ -28,16 +28,6 @@ def read_table(spark: SparkSession, folder: str, name: str, columns: Sequence[st
     return nan_to_null(df.select(*columns) if columns else df)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even out a scan that has fewer tasks than the session has cores.
-
-    A table stored as one small file would otherwise be processed by one core up to the first
-    shuffle. A table with enough splits, which is every large one, passes through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_entities_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Entity table with a header row; the schema is explicit, so there is no inference pass."""
     return nan_to_null(

@@ -44,3 +44,22 @@ def test_residual_maximum_is_in_the_last_bin(spark):
     df = spark.createDataFrame([(0, "m", i, 0.0, float(i)) for i in range(21)], "fold int, model string, row_id bigint, y_true double, y_pred double")
     bins = {r["bin"]: r["n"] for r in metrics.residual_histogram(df).collect()}
     assert sum(bins.values()) == 21 and max(bins) == 20 and bins[20] == 2
+
+
+def test_signed_rank_is_exact_beyond_twelve_folds(spark):
+    import itertools
+    import random
+
+    from folioscope.operators import compare
+
+    rng = random.Random(2)
+    for folds in (13, 16):
+        gaps = [0.01 * (i + 1) for i in range(folds)] if folds == 13 else [rng.choice([-3, -1, 1, 2, 2, 4]) / 100 for _ in range(folds)]
+        cv = spark.createDataFrame([(i, m, 0.5 + (g if m == "b" else 0.0)) for i, g in enumerate(gaps) for m in "ab"], "fold int, model string, auc double")
+        size = sorted(abs(round(g, 12)) for g in gaps)
+        ranks = [size.index(abs(round(g, 12))) + 1 + (size.count(abs(round(g, 12))) - 1) / 2 for g in gaps]
+        plus = sum(r for r, g in zip(ranks, gaps) if g < 0)
+        far = max(plus, sum(ranks) - plus)
+        hits = sum(sum(r for r, s in zip(ranks, signs) if s) >= far for signs in itertools.product((0, 1), repeat=folds))
+        got = compare.wilcoxon(compare.model_pairs(cv, "auc")).first()["p"]
+        assert abs(got - min(1.0, 2 * hits / 2 ** folds)) < 1e-12
