@@ -127,11 +127,10 @@ def links(nodes: DataFrame, hot_cell: int = HOT_CELL) -> DataFrame:
     hot_cell members; members of larger cells are linked to the smallest fingerprint of each
     point they share, which leaves the same components."""
     cells = _cells(nodes)
-    sizes = cells.groupBy("triple", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    sizes = staged(sizes, "grid-cells")
-    cold = sizes.where(F.col("n") <= hot_cell)
-    inside = cells.join(cold.select("triple", "cell"), ["triple", "cell"], "left_semi")
-    inside = staged(inside, "grid-points")
+    sizes = cells.groupBy("triple", "cell").agg(F.count(F.lit(1)).alias("n"))
+    hot = staged(sizes.where(F.col("n") > hot_cell).select("triple", "cell"), "hot-cells")
+    crowded = not hot.isEmpty()
+    inside = cells.join(hot, ["triple", "cell"], "left_anti") if crowded else cells
     a, b = inside.alias("a"), inside.alias("b")
     near = (
         (F.col("a.triple") == F.col("b.triple")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))
@@ -140,10 +139,9 @@ def links(nodes: DataFrame, hot_cell: int = HOT_CELL) -> DataFrame:
         & (_lowest_equal(F.col("a.e"), F.col("b.e")) == F.col("a.triple"))
     )
     pairs = a.join(b, near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    hot = sizes.where(F.col("n") > hot_cell)
-    if hot.isEmpty():
+    if not crowded:
         return pairs
-    members = cells.join(hot.select("triple", "cell"), ["triple", "cell"], "left_semi").select("fp").distinct()
+    members = cells.join(hot, ["triple", "cell"], "left_semi").select("fp").distinct()
     points = members.mapInArrow(_ball_points, "fp long, point long")
     first = points.groupBy("point").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     stars = points.join(first, "point").where("a < fp").select("a", F.col("fp").alias("b"))
