@@ -57,10 +57,9 @@ def column_profile(
     """
     keys = [fold, "feature"]
     cells = value_cells(long, keys, "value", within=["feature"])
-    ladder = running_sums(cells, keys, "value", ["cnt"], totals={"top": F.max("cnt")})
+    ladder = running_sums(cells, keys, "value", ["cnt"])
     sizes = rows.groupBy(fold).agg(F.count(F.lit(1)).alias("n_rows"))
     ladder = ladder.join(F.broadcast(sizes), fold)  # one row per fold
-    # `top_all` sums per-shard maxima; the true maximum is taken below, over the cells.
     tops = cells.groupBy(*keys).agg(F.max("cnt").alias("top"))
 
     n, m = F.col("cnt_all"), F.col("n_rows") - F.col("cnt_all")
@@ -111,11 +110,24 @@ def column_profile(
 # ---- correlation -----------------------------------------------------------------------
 
 def row_vectors(long: DataFrame, features: Sequence[str], key: str = "row_id") -> DataFrame:
-    """(key, x): one array per row in feature order, NULL where a value is missing."""
-    names = F.array(*[F.lit(f) for f in features])
-    packed = long.where(F.col("value").isNotNull()).groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("_m"))
-    return packed.select(key, F.transform(names, lambda f: F.try_element_at("_m", f)).alias("x"))
+    """(key, x): one array per row in feature order, NULL where a value is missing.
+
+    Present values are sorted by position and the gaps between them filled, which is linear in
+    the number of features. A feature given twice for a row is an error.
+    """
+    places = feature_list(long, features)
+    cells = long.select(key, "feature", "value").where(F.col("value").isNotNull())
+    packed = cells.join(F.broadcast(places), "feature").groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("position", F.col("value").cast("double").alias("value")))).alias("_e"))
+    empty = F.lit(None).cast("double")
+
+    def with_gap(e: Column, k: Column) -> Column:
+        gap = e["position"] - F.coalesce(F.get(F.col("_e"), k - 1)["position"], F.lit(-1)) - 1
+        return F.when(gap < 0, F.raise_error(F.lit("a feature occurs twice in a row"))).otherwise(
+            F.concat(F.array_repeat(empty, gap), F.array(e["value"])))
+
+    rest = F.lit(len(features) - 1) - F.element_at("_e", -1)["position"]
+    return packed.select(key, F.concat(F.flatten(F.transform("_e", with_gap)), F.array_repeat(empty, rest)).alias("x"))
 
 
 def pair_sums(vectors: DataFrame, fold: str, width: int) -> DataFrame:

@@ -125,7 +125,7 @@ def search_parameters(
 ) -> tuple[dict, DataFrame]:
     """Best of `n_iter` sampled parameter sets by mean inner score, and all candidates' scores.
 
-    A candidate that cannot be fitted has no score and never wins.
+    A candidate that fails, or has no score, on any inner fold has none and never wins.
     """
     candidates = models.sample_candidates(grid, plan.n_iter, plan.seed)
 
@@ -134,7 +134,8 @@ def search_parameters(
         split = design.split_of(outer, inner)
         try:
             fitted = _fit(task, model_id, candidates[c], design.training(split, model_id), n_classes, plan)
-            return _scored(fitted, design.rows(split, "test"), task).withColumn("candidate", F.lit(c)).withColumn("inner", F.lit(inner))
+            scored = _scored(fitted, design.rows(split, "test"), task)
+            return cut_lineage(scored.withColumn("candidate", F.lit(c)).withColumn("inner", F.lit(inner)))
         except Exception as exc:  # a failing candidate must not stop the search
             models.log.warning("candidate %s of %s failed: %s", candidates[c], model_id, str(exc)[:200])
             return None
@@ -155,8 +156,11 @@ def search_parameters(
         scores = metrics.auc(pred, keys).withColumnRenamed("auc_roc", "score")
     else:
         scores = metrics.auc_one_vs_rest(pred, "probs", n_classes, keys).withColumnRenamed("auc_roc", "score")
-    board = scores.groupBy("candidate").agg(F.avg("score").alias("score")).collect()  # one row per candidate
-    ranked = sorted(board, key=lambda r: (-(r["score"] if r["score"] is not None else float("-inf")), r["candidate"]))
+    complete = F.when(F.count("score") == plan.n_inner, F.avg("score"))
+    board = scores.groupBy("candidate").agg(complete.alias("score")).where("score IS NOT NULL").collect()  # one row per candidate
+    if not board:
+        raise RuntimeError(f"no candidate of {model_id} has a score on every inner fold")
+    ranked = sorted(board, key=lambda r: (-r["score"], r["candidate"]))
     return candidates[ranked[0]["candidate"]], scores
 
 
