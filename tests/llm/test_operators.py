@@ -88,6 +88,21 @@ def test_pages(spark):
     assert html_extract.main_texts(df.limit(0)).count() == 0
 
 
+ONE_ARTICLE = """<html><body><div class="x7">menu one</div><div class="r">c{n}</div><article><h1>Same</h1><section><div>A shared text in a box.</div>
+<ul><li>item</li></ul><table><tr><td>cell</td></tr></table><p>End</p></section></article><script>track({n})</script></body></html>"""
+IN_BOXES = """<html><body><div class="x7"><div>menu of all pages</div></div><div class="r">count {n}</div><div class="b"><div>{text}</div></div></body></html>"""
+
+
+def test_pages_that_carry_one_article(spark):
+    pages = [(i, f"http://one.example/{i}", ONE_ARTICLE.format(n=i)) for i in range(14)]
+    shared = prose(1, 40)
+    pages += [(100 + i, f"http://box.example/{i}", IN_BOXES.format(n=i, text=shared if i < 60 else prose(i, 40))) for i in range(80)]
+    got = {r["page_id"]: r["text"] for r in html_extract.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "Same\n\nA shared text in a box.\n\nitem\n\ncell\n\nEnd" for i in range(14))
+    assert all((shared if i < 60 else prose(i, 40)) in got[100 + i] and "menu" not in got[100 + i] for i in range(80))
+    assert len({html_extract.page_nodes(p[2])[0] for p in pages}) == 1 + 1 + 20
+
+
 # -- tokens --------------------------------------------------------------------------------------
 
 def test_token_counts(docs, empty):
