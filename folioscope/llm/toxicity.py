@@ -11,9 +11,10 @@
    `CAUTION` standard errors; of a feature's two slots the lower one counts, so that sharing a
    slot with a toxic word makes no word toxic. A
    word weighs what its most special feature known from `ENOUGH` labelled documents does, at
-   least `FLOOR`, less `DRIFT`, so that a stretch of neutral words scores below zero. Counts are
-   of documents, so only a word's first place in a text is evidence for it.
-3. Segments: one linear scan finds all disjoint maximal-scoring segments of a text.
+   least `FLOOR`, less `DRIFT`, so that a stretch of neutral words scores below zero.
+3. Segments: one linear scan over the scores of all words, repeated ones too, finds all disjoint
+   maximal-scoring segments of a text. That words come in runs is met by step 4, whose fits see
+   ordinary texts scored in the same way.
 4. Extreme values: the best segment of n words of ordinary text exceeds s with probability
    1 - exp(-K n exp(-lambda s)); K and lambda are fitted to the learnable rows that aren't toxic,
    as are the two parameters that turn the evidence of a text's significant segments into a
@@ -224,23 +225,12 @@ class WordScores(dict):
         return n
 
     def of(self, words: list[str], *kinds: int) -> list[np.ndarray]:
-        """Scores of the words of a text by some of the weights; a positive word counts where it
-        first stands."""
+        """Scores of the words of a text, wherever they stand, by some of the weights."""
         if len(self) > REMEMBERED:
             self.clear()
             self.scores = [array("f") for _ in self.slots]
         ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return [once(np.frombuffer(self.scores[k], np.float32)[ids].astype(np.float64) if len(ids) else np.zeros(0), ids) for k in kinds]
-
-
-def once(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Positive scores at the first place of each word only."""
-    at = np.flatnonzero(scores > 0)
-    if len(at) > 1:
-        again = np.ones(len(at), bool)
-        again[np.unique(ids[at], return_index=True)[1]] = False
-        scores[at[again]] = -DRIFT
-    return scores
+        return [np.frombuffer(self.scores[k], np.float32)[ids].astype(np.float64) if len(ids) else np.zeros(0) for k in kinds]
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[float, int, int]]:

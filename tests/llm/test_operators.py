@@ -313,3 +313,17 @@ def test_toxic_documents(spark, empty):
     assert kept.columns == df.columns and kept.where("doc_id IS NULL").count() == 1
     assert toxicity.scored(empty, known).count() == 0
     assert toxicity.scored(df, known.limit(0)).where("predicted = 1").count() == 0
+
+
+def test_repeated_words_are_scored_at_every_place(spark):
+    bad = ["grumlo", "vextar", "plonk"]
+    rows = [(d, prose(d, 40) + (" grumlo plonk vextar" if d % 6 == 0 else "")) for d in range(600)]
+    known = spark.createDataFrame([(d, int(d % 6 == 0)) for d, _ in rows], "doc_id long, toxic int")
+    model, _ = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), known)
+    words = [w for i, b in enumerate(bad) for w in [b, *prose(700 + i, 40).split()]]
+    places = []
+    for i in range(2):
+        places.append((len(words), len(words) + 12))
+        words += bad * 4 + prose(800 + i, 60).split()
+    found = [(a, b) for _, a, b in model.passages(" ".join(words))]
+    assert all(any(a <= x and y <= b for a, b in found) for x, y in places) and len(found) >= 2
