@@ -1,16 +1,13 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
 1. Counts: every text is cut into words; a word and its first five and four characters are three
-   features, each hashed into both halves of a table of `SLOTS` slots. Tasks count the documents
-   that hold a feature, among all documents and, for rows that may be learned from, among toxic
+   features, each counted under its own 64-bit hash. Tasks count the documents that hold a feature, among all documents and, for rows that may be learned from, among toxic
    and other ones in two folds. Near copies share one vote: documents with one label and the same
    smallest hash of a word triple divide it, or a toxic text's copies would make its whole
    wording look toxic.
 2. Weights: log-odds of a feature between the two classes under a Dirichlet prior (`FLAT` of a
-   document for each feature and the corpus counts, scaled to `PRIOR` of the labelled ones), less
-   `CAUTION` standard errors; of a feature's two slots the lower one counts, so that sharing a
-   slot with a toxic word makes no word toxic. A
-   word weighs what its most special feature known from `ENOUGH` labelled documents does, at
+   document for each of `POSSIBLE` features and the corpus counts, scaled to `PRIOR` of the
+   labelled ones), less `CAUTION` standard errors. A word weighs what its most special feature known from `ENOUGH` labelled documents does, at
    least `FLOOR`, less `DRIFT`, so that a stretch of neutral words scores below zero.
 3. Segments: one linear scan over the scores of all words, repeated ones too, finds all disjoint
    maximal-scoring segments of a text. That words come in runs is met by step 4, whose fits see
@@ -21,8 +18,9 @@
    probability. Both fits see binned sums of all those rows, a bounded table, and score a row
    with weights learned from the other fold, so that it doesn't vouch for itself.
 
-What reaches the driver is bounded by `SLOTS` and the bins, whatever the corpus; the weights
-(4 bytes a slot) are broadcast.
+What reaches the driver and is broadcast (20 bytes each) are the features known from `ENOUGH`
+labelled documents that weigh more than `FLOOR`, and those below it that may hide a shorter one
+(they begin alike); all others weigh `FLOOR` anyway. Beside them only the bins reach the driver.
 
 Cases: null and empty texts have no segments and get the score of no evidence; null ids count as
 the empty text in the split; several labels of one id count as toxic if one is; without labels
@@ -35,8 +33,8 @@ from __future__ import annotations
 import math
 import string
 import uuid
-import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,9 +49,10 @@ from folioscope.llm.common import bounded_batches, sliced, texts_of, worker_kept
 from folioscope.llm.decontam import word_hashes
 from folioscope.session import staged
 
-SLOTS, PAGE, ENOUGH = 1 << 21, 1 << 13, 5
+POSSIBLE, ENOUGH, OWN_BITS = 1 << 20, 5, 40
 PRIOR, FLAT, CAUTION, FLOOR, DRIFT, CEILING = 0.002, 0.5, 2.0, -1.0, 0.1, 8.0
 CLASSES = 5  # all; toxic and other of fold 0; toxic and other of fold 1
+LEARNED = (((1, 3), (2, 4)), ((3,), (4,)), ((1,), (2,)))  # toxic and other: both folds, without fold 0, without fold 1
 SIGNIFICANT = 0.05
 REMEMBERED, FLUSH = 400_000, 150_000
 REJECT = 0.7
@@ -70,16 +69,12 @@ def fold() -> Column:
 
 
 def feature_hashes(word: str) -> tuple[int, int, int]:
-    """Hashes of a word, its first five and its first four characters, without marks at its ends."""
+    """Hashes of a word, its first five and its first four characters, without marks at its ends.
+    All three begin with the same 24 bits, those of the first four characters' hash."""
     bare = word.strip(MARKS) or word
-    digest = xxhash.xxh64_intdigest
-    return digest(bare.encode("utf-8", "surrogatepass"), 1), digest(bare[:5].encode("utf-8", "surrogatepass"), 2), digest(bare[:4].encode("utf-8", "surrogatepass"), 3)
-
-
-def slots_of(hashes: np.ndarray) -> np.ndarray:
-    """The two slots of each hash, on a new last axis."""
-    half = np.uint64(SLOTS // 2)
-    return np.stack([hashes % half, half + (hashes >> np.uint64(32)) % half], -1).astype(np.int64)
+    whole, five, four = (xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass"), seed) for seed, part in enumerate((bare, bare[:5], bare[:4]), 1))
+    top, rest = four >> OWN_BITS << OWN_BITS, (1 << OWN_BITS) - 1
+    return top | whole & rest, top | five & rest, four
 
 
 class Numbers(dict):
@@ -117,33 +112,35 @@ def votes(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(shared, ["mark", "toxic"]).select("doc_id", "toxic", "vote")
 
 
-def feature_counts(documents: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Counts CLASSES x SLOTS of documents by the words they hold. labels: (doc_id, toxic). Only
-    texts of learnable rows are shuffled to their labels; the corpus is counted where it is read."""
+def feature_counts(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(feature, c0 .. c4): documents by the features they hold, a column for each of CLASSES. labels: (doc_id, toxic). Only texts of learnable rows are shuffled to their labels; the corpus
+    is counted where it is read."""
     cast = staged(votes(documents, labels).withColumnRenamed("doc_id", "_label_id"), "votes")
     kind = (fold() * 2 + F.when(F.col("toxic") == 1, 1).otherwise(2)).cast("int")
     some = documents.where(learnable()).select("doc_id", "text")
     known = some.join(cast.hint("merge"), some["doc_id"] == cast["_label_id"]).select("text", kind.alias("kind"), "vote")
     corpus = documents.select("text", F.lit(0).alias("kind"), F.lit(1.0).alias("vote"))
-    return counted_features(corpus) + counted_features(known)
+    sums = [F.sum(F.when(F.col("kind") == k, F.col("votes")).otherwise(0.0)).alias(f"c{k}") for k in range(CLASSES)]
+    return counted_features(corpus).union(counted_features(known)).groupBy("feature").agg(*sums)
 
 
-def counted_features(rows: DataFrame) -> np.ndarray:
-    """Sums of vote over the texts that hold a feature, for each kind: CLASSES x SLOTS. rows:
-    (text, kind, vote)."""
+def counted_features(rows: DataFrame) -> DataFrame:
+    """(feature, kind, votes): sums of vote over the texts of a task that hold a feature, for each
+    kind; a feature may have several rows. rows: (text, kind, vote)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_kept("counts", dict)
-        numbers, table = Numbers(), np.zeros((CLASSES, SLOTS), np.float32)
+        numbers = Numbers()
         counts = [np.zeros(0)] * CLASSES
 
-        def settle() -> None:
-            slots = slots_of(np.array([feature_hashes(w) for w in numbers], np.uint64)).reshape(len(numbers), -1)
+        def settled() -> Iterator[pa.RecordBatch]:
+            hashes = np.array([feature_hashes(w) for w in numbers], np.uint64).reshape(-1, 3).view(np.int64)
             for k in range(CLASSES):
-                mine = np.pad(counts[k], (0, len(numbers) - len(counts[k])))
-                some = np.flatnonzero(mine)
-                for f in range(slots.shape[1]):
-                    np.add.at(table[k], slots[some, f], mine[some].astype(np.float32))
+                some = np.flatnonzero(counts[k])
+                if len(some):
+                    features, back = np.unique(hashes[some].ravel(), return_inverse=True)
+                    sums = np.bincount(back, np.repeat(counts[k][some], 3))
+                    yield pa.RecordBatch.from_arrays([pa.array(features), pa.array(np.full(len(features), k, np.int32)), pa.array(sums)], ["feature", "kind", "votes"])
             numbers.clear()
 
         for batch in sliced(batches):
@@ -160,65 +157,65 @@ def counted_features(rows: DataFrame) -> np.ndarray:
                 if seen[k]:
                     np.add.at(counts[k], np.array(seen[k], np.int64), np.array(shares[k]))
             if len(numbers) > FLUSH:
-                settle()
+                yield from settled()
                 counts = [np.zeros(0)] * CLASSES
         if numbers:
-            settle()
-        for page in range(SLOTS // PAGE):
-            part = table[:, page * PAGE:(page + 1) * PAGE]
-            some = np.flatnonzero(part.any(0))
-            if len(some):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([page], pa.int32()), pa.array([zlib.compress(some.astype("<u2").tobytes(), 1)], pa.binary()), pa.array([zlib.compress(part[:, some].astype("<f4").tobytes(), 1)], pa.binary())], ["page", "at", "counts"])
-
-    def merged(group: pa.Table) -> pa.Table:
-        total = np.zeros((CLASSES, PAGE))
-        for at, counts in zip(group.column("at").to_pylist(), group.column("counts").to_pylist()):
-            spots = np.frombuffer(zlib.decompress(at), "<u2")
-            total[:, spots] += np.frombuffer(zlib.decompress(counts), "<f4").reshape(CLASSES, len(spots))
-        return pa.table({"page": pa.array([group.column("page")[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<f8").tobytes()], pa.binary())})
-
-    pages = rows.mapInArrow(counted, "page int, at binary, counts binary").groupBy("page").applyInArrow(merged, "page int, counts binary")
-    whole = np.zeros((CLASSES, SLOTS), np.float32)
-    for row in pages.toLocalIterator():
-        whole[:, row["page"] * PAGE:(row["page"] + 1) * PAGE] = np.frombuffer(bytes(row["counts"]), "<f8").reshape(CLASSES, PAGE)
-    return whole
-
-
-def slot_weights(counts: np.ndarray) -> np.ndarray:
-    """Cautious log-odds of every slot, NaN where too little is known: learned from both folds,
-    without fold 0, without fold 1. Worked through in pages to need little memory."""
-    totals = counts.sum(1, dtype=np.float64)
-    out = np.empty((3, counts.shape[1]), np.float32)
-    for row, (toxic_at, other_at) in enumerate((([1, 3], [2, 4]), ([3], [4]), ([1], [2]))):
-        toxic_all, other_all = totals[toxic_at].sum(), totals[other_at].sum()
+            yield from settled()
+
+    return rows.mapInArrow(counted, "feature long, kind int, votes double")
+
+
+def feature_weights(counts: DataFrame) -> DataFrame:
+    """(feature, w0, w1, w2) of the features that can change a word's score: cautious log-odds by
+    LEARNED, null where too little is known."""
+    counts = staged(counts, "feature-counts")
+    totals = [x or 0.0 for x in counts.agg(*(F.sum(f"c{k}") for k in range(CLASSES))).first()]
+    weights = []
+    for toxic_at, other_at in LEARNED:
+        toxic_all, other_all = sum(totals[k] for k in toxic_at), sum(totals[k] for k in other_at)
         strength = PRIOR * (toxic_all + other_all)
-        whole = FLAT * counts.shape[1] + strength
-        for at in range(0, counts.shape[1], 1 << 17):
-            part = counts[:, at:at + (1 << 17)].astype(np.float64)
-            toxic, other = part[toxic_at].sum(0), part[other_at].sum(0)
-            prior = FLAT + strength * part[0] / max(1.0, totals[0])
-            a, b = toxic + prior, other + prior
-            ratio = np.log(a / (toxic_all + whole - a)) - np.log(b / (other_all + whole - b))
-            out[row, at:at + (1 << 17)] = np.where(toxic + other >= ENOUGH, ratio - CAUTION * np.sqrt(1 / a + 1 / b), np.nan)
-    return out
+        whole = FLAT * POSSIBLE + strength
+        toxic, other = (sum((F.col(f"c{k}") for k in at[1:]), F.col(f"c{at[0]}")) for at in (toxic_at, other_at))
+        prior = FLAT + F.col("c0") * (strength / max(1.0, totals[0]))
+        a, b = toxic + prior, other + prior
+        ratio = F.log(a / (toxic_all + whole - a)) - F.log(b / (other_all + whole - b))
+        weights.append(F.when(toxic + other >= ENOUGH, ratio - CAUTION * F.sqrt(1 / a + 1 / b)).alias(f"w{len(weights)}"))
+    known = staged(counts.select("feature", *weights).where("w0 IS NOT NULL"), "known-features")
+    above = F.greatest("w0", "w1", "w2") > FLOOR
+    start = F.shiftrightunsigned("feature", OWN_BITS)
+    hiding = known.where(~above).withColumn("_start", start).join(known.where(above).select(start.alias("_start")), "_start", "left_semi")
+    return known.where(above).union(hiding.drop("_start"))
+
+
+def collected(weights: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features in order and their three weights, NaN for null."""
+    table = weights.toArrow()
+    features = table.column("feature").to_numpy()
+    order = np.argsort(features)
+    columns = [table.column(c).cast(pa.float32()).to_numpy() for c in ("w0", "w1", "w2")]
+    return features[order], np.stack([c[order] for c in columns])
 
 
 class WordScores(dict):
     """word -> number; `scores[k][number]` is its score by the k-th weights."""
 
-    def __init__(self, slots: np.ndarray):
-        self.slots = slots
-        self.scores = [array("f") for _ in slots]
+    def __init__(self, features: np.ndarray, weights: np.ndarray):
+        self.features, self.weights = memoryview(features), weights
+        self.scores = [array("f") for _ in weights]
 
     def __missing__(self, word: str) -> int:
-        places = [int(s) for h in feature_hashes(word) for s in (h % (SLOTS // 2), SLOTS // 2 + (h >> 32) % (SLOTS // 2))]
-        for weights, scores in zip(self.slots, self.scores):
+        places = []
+        for h in feature_hashes(word):
+            h -= h >> 63 << 64  # as a signed number
+            at = bisect_left(self.features, h)
+            if at < len(self.features) and self.features[at] == h:
+                places.append(at)
+        for weights, scores in zip(self.weights, self.scores):
             best = FLOOR
-            for k in (0, 2, 4):
-                one, two = weights.item(places[k]), weights.item(places[k + 1])
-                if one == one and two == two:  # neither is NaN
-                    best = min(CEILING, max(FLOOR, min(one, two)))
+            for at in places:
+                weight = weights.item(at)
+                if weight == weight:  # not NaN
+                    best = min(CEILING, max(FLOOR, weight))
                     break
             scores.append(best - DRIFT)
         self[word] = n = len(self)
@@ -228,7 +225,7 @@ class WordScores(dict):
         """Scores of the words of a text, wherever they stand, by some of the weights."""
         if len(self) > REMEMBERED:
             self.clear()
-            self.scores = [array("f") for _ in self.slots]
+            self.scores = [array("f") for _ in self.weights]
         ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         return [np.frombuffer(self.scores[k], np.float32)[ids].astype(np.float64) if len(ids) else np.zeros(0) for k in kinds]
 
@@ -255,14 +252,14 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
 
 @dataclass
 class ToxicityModel:
-    slots: Broadcast
+    known: Broadcast
     rate: float  # lambda of the extreme-value law
     scale: float  # K
     slope: float
     offset: float
 
     def weights(self) -> WordScores:
-        return scores_of(self.slots)
+        return scores_of(self.known)
 
     def evidence(self, n: int, segments: list[tuple[float, int, int]]) -> float:
         """Sum over the significant segments of how far each lies beyond chance."""
@@ -275,10 +272,10 @@ class ToxicityModel:
         return [s for s in maximal_segments(self.weights().of(words, 0)[0]) if s[0] >= bound]
 
 
-def scores_of(slots: Broadcast) -> WordScores:
+def scores_of(known: Broadcast) -> WordScores:
     """The word scores a Python worker keeps for one broadcast."""
-    name, weights = slots.value
-    return worker_kept(name, lambda: WordScores(weights))
+    name, features, weights = known.value
+    return worker_kept(name, lambda: WordScores(features, weights))
 
 
 def significant_score(n: int, rate: float, scale: float) -> float:
@@ -291,12 +288,12 @@ def evidence_of(n: int, scores: list[float], rate: float, scale: float) -> float
     return sum(rate * (s - bound) + 1.0 for s in scores if s >= bound)
 
 
-def text_segments(documents: DataFrame, slots: Broadcast) -> DataFrame:
+def text_segments(documents: DataFrame, words_known: Broadcast) -> DataFrame:
     """doc_id, n (words), scores of all maximal segments of each document and, for learnable
     rows, cross: the same by the weights of the other fold."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = scores_of(slots)
+        weights = scores_of(words_known)
         for batch in sliced(batches):
             sizes, scores, cross = [], [], []
             for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist()):
@@ -367,14 +364,13 @@ def fit_probability(rows: DataFrame) -> tuple[float, float]:
 def fit(documents: DataFrame, labels: DataFrame) -> tuple[ToxicityModel, DataFrame]:
     """The model and the segments of every document (doc_id, n, scores; written once)."""
     spark = documents.sparkSession
-    weights = slot_weights(feature_counts(documents, labels))
-    slots = spark.sparkContext.broadcast((f"toxic words {uuid.uuid4()}", weights))
-    segments = staged(text_segments(documents, slots), "segments")
+    words_known = spark.sparkContext.broadcast((f"toxic words {uuid.uuid4()}", *collected(feature_weights(feature_counts(documents, labels)))))
+    segments = staged(text_segments(documents, words_known), "segments")
     usable = labels.where(learnable()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IS NOT NULL")
     known = staged(segments.join(usable, "doc_id").withColumn("scores", F.col("cross")), "known-segments")
     rate, scale = fit_extremes(known.where("toxic = 0"))
     slope, offset = fit_probability(known.withColumn("evidence", evidence_column(rate, scale)))
-    return ToxicityModel(slots, rate, scale, slope, offset), segments
+    return ToxicityModel(words_known, rate, scale, slope, offset), segments
 
 
 def probability(model: ToxicityModel, evidence: Column) -> Column:

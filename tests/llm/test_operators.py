@@ -327,3 +327,19 @@ def test_repeated_words_are_scored_at_every_place(spark):
         words += bad * 4 + prose(800 + i, 60).split()
     found = [(a, b) for _, a, b in model.passages(" ".join(words))]
     assert all(any(a <= x and y <= b for a, b in found) for x, y in places) and len(found) >= 2
+
+
+def test_common_words_do_not_hide_a_rare_toxic_one(spark):
+    # The hash of the first common word is that of the toxic one modulo 2**20, the second's modulo 2**20 without its lower half.
+    rows = [(d, prose(d, 30) + (" grumlo" if d % 30 == 0 else " atjoaaq gocjaaq")) for d in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(d, int(d % 30 == 0)) for d, _ in rows], "doc_id long, toxic int")
+    model, _ = toxicity.fit(df, known)
+    scores = model.weights().of(["grumlo", "grumbling", "atjoaaq", "gocjaaq", "unseen"], 0)[0]
+    assert (scores[:2] > 0).all() and (scores[2:] < 0).all()
+    # Counted exactly, from votes of labelled rows and from all rows.
+    votes = {r["doc_id"]: (r["toxic"], r["vote"]) for r in toxicity.votes(df, known).collect()}
+    word = int(np.array([toxicity.feature_hashes("grumlo")[0]], np.uint64).view(np.int64)[0])
+    row = toxicity.feature_counts(df, known).where(f"feature = {word}").first()
+    assert row["c0"] == 30 and row["c1"] + row["c3"] == pytest.approx(sum(v for d, (t, v) in votes.items() if d % 30 == 0))
+    assert row["c2"] == row["c4"] == 0
