@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, decontam, html_extract, linededup, mixing, quality, simhash, tokencount, toxicity, wavelet
+from folioscope.llm import (
+    chat, decontam, html_extract, k2search, linededup, mixing, periodic, pu_quality, quality, simhash, tokencount, toxicity, wavelet)
 from folioscope.llm.common import table
 
 CONTROL_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -59,9 +60,23 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op11_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.scored(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def op12_k2_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return k2search.ranked(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.periodic_runs(table(spark, sf_dir, "documents", "doc_id", "text"), periodic.tiled, texts=False)
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_prefix_targets, op2_style_trees, op3_token_counts, op4_rule_ledger, op5_wavelet_shards,
-    op6_segment_popcount, op7_spaced_seeds, op8_mix_curriculum, op9_line_runs, op10_toxic_segments)}
+    op6_segment_popcount, op7_spaced_seeds, op8_mix_curriculum, op9_line_runs, op10_toxic_segments,
+    op11_pu_quality, op12_k2_treap_search, op13_periodic_runs)}
 
 SQL = {
     "op1_chat_prefix_targets": r"""
@@ -133,4 +148,24 @@ WITH d AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM j GROUP BY rid, doc_id""",
+    "op12_k2_treap_search": r"""
+WITH t AS (
+  SELECT rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)), f AS (
+  SELECT rid, term, count(*)::BIGINT AS tf FROM t GROUP BY rid, term), n AS (
+  SELECT rid, any_value(doc_id) AS doc_id, count(*)::BIGINT AS n FROM t GROUP BY rid), g AS (
+  SELECT count(*)::BIGINT AS docs, coalesce(sum(n), 0)::BIGINT AS terms FROM n), m AS (
+  SELECT rid, doc_id, 100 - 25 + ((25 * n * docs) // terms) AS m FROM n, g), q AS (
+  SELECT item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, term), w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM f WHERE term IN (SELECT term FROM q) GROUP BY term), g), s AS (
+  SELECT item_id, rid, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (rid) GROUP BY item_id, rid), r AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+  FROM s JOIN m USING (rid) WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20""",
 }
