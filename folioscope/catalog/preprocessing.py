@@ -12,6 +12,7 @@ from folioscope.catalog import bindings as b
 from folioscope.catalog.evaluation import folds_sql
 from folioscope.functions import scalars as fs
 from folioscope.operators import preprocess as pp
+from folioscope.operators.foldsums import cells_of_folds
 from folioscope.operators import splits as sp
 from folioscope.session import derived_once, shared_folder
 from folioscope.sources import sinks
@@ -214,6 +215,6 @@ _FOLDS = ("WITH RECURSIVE " + MATRIX_SQL + ", ids AS (SELECT DISTINCT row_id, 0
 @query("prep8_fold_fit", _FOLDS + " SELECT fold, feature, round(missing_frac + 1e-9, 6) AS missing_frac, round(median + 1e-9, 6) AS median, round(scale + 1e-9, 6) AS scale, dropped_by, correlated_with FROM state")
 def prep8(spark, sf):
     long = matrix(spark, sf)
-    train = sp.training_rows(sp.shuffled_folds(_rows(long), "row_id", 3, fold="_f"), 3, "_f", "fold")
+    train = cells_of_folds(sp.shuffled_folds(_rows(long), "row_id", 3, fold="_f"), 3, "_f")
     s = pp.fit_filters(long, train, FEATURES)
     return s.select("fold", "feature", *r6("missing_frac", "median", "scale"), "dropped_by", "correlated_with")

@@ -1,8 +1,9 @@
 """Leakage-safe feature selection and scaling.
 
 The fitted state is a small table, one row per (fold, feature): missing share, median, scale,
-the step that dropped the feature and its partner. All folds are fitted in one job; the fit
-depends neither on the model nor on its parameters, so every candidate reuses it.
+the step that dropped the feature and its partner. All folds are fitted together from sums over
+disjoint cells of rows (see `foldsums`); the fit depends neither on the model nor on its
+parameters, so every candidate reuses it.
 
 Input is long (row_id, feature, value). Feature names come from the schema, so a list of them
 is metadata; anything of size features x features is bounded by the schema, not by the rows.
@@ -10,7 +11,7 @@ is metadata; anything of size features x features is bounded by the schema, not
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.scalars import safe_divide
-from folioscope.operators.ordered import running_sums, value_at, value_cells
+from folioscope.operators.foldsums import Marked, TrainingCells, block_products, cells_of_rows, fold_blocks, marked, pandas_blocks, picked_values
 from folioscope.session import cut_lineage
 
 # Thresholds and the texts of the report.
@@ -46,23 +47,29 @@ def feature_list(long: DataFrame, features: Sequence[str]) -> DataFrame:
 
 # ---- column profile --------------------------------------------------------------------
 
+def training_cells(rows: DataFrame | TrainingCells, fold: str = "fold") -> TrainingCells:
+    return rows if isinstance(rows, TrainingCells) else cells_of_rows(rows, fold)
+
+
 def column_profile(
-    long: DataFrame, rows: DataFrame, features: Sequence[str], fold: str = "fold"
+    long: DataFrame, rows: DataFrame | TrainingCells, features: Sequence[str], fold: str = "fold"
 ) -> DataFrame:
     """Per (fold, feature): counts, median of the present values, quartiles after the median
     has replaced the missing ones, and the largest share of one value after and before that.
-
-    Sorting `n` present values and `m` copies of their median gives positions that follow from
-    n and m alone, so one pass of running counts serves before and after imputation.
     """
-    keys = [fold, "feature"]
-    cells = value_cells(long, keys, "value", within=["feature"])
-    ladder = running_sums(cells, keys, "value", ["cnt"])
-    sizes = rows.groupBy(fold).agg(F.count(F.lit(1)).alias("n_rows"))
-    ladder = ladder.join(F.broadcast(sizes), fold)  # one row per fold
-    tops = cells.groupBy(*keys).agg(F.max("cnt").alias("top"))
-
-    n, m = F.col("cnt_all"), F.col("n_rows") - F.col("cnt_all")
+    held = marked(row_vectors(long, features), training_cells(rows, fold), len(features))
+    return profile_of(held, features, fold)
+
+
+def profile_of(held: Marked, features: Sequence[str], fold: str = "fold") -> DataFrame:
+    """Sorting `n` present values and `m` copies of their median gives positions that follow
+    from n and m alone, so one pass serves before and after imputation."""
+    spark = held.vectors.sparkSession
+    totals: dict[int, int] = {f: 0 for f in held.cells.folds}
+    for f, c in held.cells.members:
+        totals[f] += held.sizes.get(c, 0)
+    sizes = spark.createDataFrame(list(totals.items()), "fold int, n_rows bigint")
+    n, m = F.col("n"), F.col("n_rows") - F.col("n")
     low = F.floor((n - 1) / 2).cast("bigint")
     high = F.ceil((n - 1) / 2).cast("bigint")
 
@@ -74,17 +81,8 @@ def column_profile(
         h = (F.col("n_rows") - 1) * (q / 100)
         wanted[f"q{q}_lo"] = present_index(F.floor(h).cast("bigint"))
         wanted[f"q{q}_hi"] = present_index(F.ceil(h).cast("bigint"))
-    hit = F.lit(False)
-    for p in wanted.values():
-        hit = hit | F.coalesce((F.col("cnt_before") <= p) & (p < F.col("cnt_before") + F.col("cnt")), F.lit(False))
-    at_low = (F.col("cnt_before") <= low) & (low < F.col("cnt_before") + F.col("cnt"))
-    picked = ladder.where(hit).groupBy(*keys).agg(
-        F.max("cnt_all").alias("n"),
-        *[value_at(p, "value").alias(name) for name, p in wanted.items()],
-        F.max(F.when(at_low, F.col("cnt"))).alias("cnt_low"),
-    ).join(tops, keys)
-
-    med = (F.col("x_low") + F.col("x_high")) / 2
+    picked = picked_values(held, wanted, sizes)
+
     frac = {q: (F.col("n_rows") - 1) * (q / 100) for q in (25, 75)}
 
     def quartile(q: int) -> Column:
@@ -95,11 +93,12 @@ def column_profile(
     missing = F.col("n_rows") - F.col("n")
     at_median = F.when(F.col("x_low") == F.col("x_high"), F.col("cnt_low")).otherwise(0)
     imputed_top = F.when(missing > 0, F.greatest(F.col("top"), at_median + missing)).otherwise(F.col("top"))
-    grid = F.broadcast(feature_list(long, features))
+    grid = F.broadcast(feature_list(held.vectors, features))
     every = sizes.withColumn("_one", F.lit(1)).join(grid.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    full = every.join(picked, keys, "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("median", med)
+    full = every.join(picked, ["fold", "position"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn(
+        "median", (F.col("x_low") + F.col("x_high")) / 2)
     return full.select(
-        fold, "feature", "position", "n_rows", "n", "median",
+        F.col("fold").alias(fold), "feature", "position", "n_rows", "n", "median",
         (missing / F.col("n_rows")).alias("missing_frac"),
         safe_divide(F.col("top"), F.col("n")).alias("same_share"),
         safe_divide(imputed_top, F.col("n_rows")).alias("imputed_same_share"),
@@ -130,63 +129,36 @@ def row_vectors(long: DataFrame, features: Sequence[str], key: str = "row_id") -
     return packed.select(key, F.concat(F.flatten(F.transform("_e", with_gap)), F.array_repeat(empty, rest)).alias("x"))
 
 
-def pair_sums(vectors: DataFrame, fold: str, width: int) -> DataFrame:
-    """Pairwise-complete sums (fold, i, j, n, sx, sy, sxx, syy, sxy) for i <= j.
-
-    `vectors` is (fold, x array). Each task reduces its rows to one set of width x width sums
-    per fold with matrix products; only those sums are shuffled.
-    """
-    upper_i, upper_j = np.triu_indices(width)
-
-    def reduce_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[np.ndarray]] = {}
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.array([np.asarray(v, dtype=float) for v in pdf["x"]]).reshape(len(pdf), width)
-            folds = pdf[fold].to_numpy()
-            for f in np.unique(folds):
-                part = x[folds == f]
-                mask = (~np.isnan(part)).astype(float)
-                z = np.where(mask > 0, part, 0.0)
-                sums = [mask.T @ mask, z.T @ mask, (z * z).T @ mask, z.T @ z]
-                old = held.get(int(f))
-                held[int(f)] = sums if old is None else [a + b for a, b in zip(old, sums)]
-        for f, (n, s1, s2, cross) in held.items():
-            yield pd.DataFrame({
-                fold: np.full(len(upper_i), f, dtype=np.int32),
-                "i": upper_i.astype(np.int32), "j": upper_j.astype(np.int32),
-                "n": n[upper_i, upper_j],
-                "sx": s1[upper_i, upper_j], "sy": s1[upper_j, upper_i],
-                "sxx": s2[upper_i, upper_j], "syy": s2[upper_j, upper_i],
-                "sxy": cross[upper_i, upper_j],
-            })
-
-    schema = f"{fold} int, i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    partial = vectors.select(F.col(fold).cast("int").alias(fold), "x").mapInPandas(reduce_rows, schema)
-    return partial.groupBy(fold, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-
-
-def correlation_of_sums() -> Column:
-    """Pearson r of one row of `pair_sums`; NULL when either side is constant."""
-    n = F.col("n")
-    vx = n * F.col("sxx") - F.col("sx") * F.col("sx")
-    vy = n * F.col("syy") - F.col("sy") * F.col("sy")
-    # A variance below the rounding error of its two terms is zero.
-    flat = (vx <= 1e-12 * n * F.col("sxx")) | (vy <= 1e-12 * n * F.col("syy"))
-    return F.when(~flat, safe_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt(vx) * F.sqrt(vy)))
+def correlations(n, sx, sy, sxx, syy, sxy) -> np.ndarray:
+    """Pearson r from sums; NaN when either side is constant."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+        # A variance below the rounding error of its two terms is zero.
+        flat = (vx <= 1e-12 * n * sxx) | (vy <= 1e-12 * n * syy)
+        return np.where(flat, np.nan, (n * sxy - sx * sy) / (np.sqrt(np.maximum(vx, 0)) * np.sqrt(np.maximum(vy, 0))))
 
 
 def pearson_matrix(long: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature_a, feature_b, r) over the rows where both are present, a before b."""
-    profile = long.groupBy("feature").agg(F.avg("value").alias("c"))
-    centred = long.join(F.broadcast(profile), "feature").withColumn("value", F.col("value") - F.col("c"))
-    sums = pair_sums(row_vectors(centred, features).withColumn("fold", F.lit(0)), "fold", len(features))
+    width = len(features)
+    held = marked(row_vectors(long, features), cells_of_rows(long.select("row_id").distinct().withColumn("fold", F.lit(0))), width)
+    block = held.block
+    means = {r["feature"]: r["c"] for r in long.groupBy("feature").agg(F.avg("value").alias("c")).collect()}  # schema-sized
+    products = block_products(held, [means.get(f) or 0.0 for f in features], squares=True)
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, i, j, (uu, ub, bu, bb, uub, buu) = pandas_blocks(pdf, width, block)
+        r = correlations(bb, ub, bu, uub, buu, uu)
+        a, b = (x.ravel() for x in np.indices(r.shape))
+        a, b, r = a + i, b + j, r.ravel()
+        out = pd.DataFrame({"i": a.astype(np.int32), "j": b.astype(np.int32), "r": r})[a < b]
+        return out.astype({"r": object}).where(out.notna(), None) if out["r"].isna().any() else out
+
+    found = fold_blocks(products, held).groupBy("fold", "i", "j").applyInPandas(pairs, "i int, j int, r double")
     names = feature_list(long, features)
     a = names.select(F.col("feature").alias("feature_a"), F.col("position").alias("i"))
     b = names.select(F.col("feature").alias("feature_b"), F.col("position").alias("j"))
-    return sums.where("i < j").withColumn("r", correlation_of_sums()).join(F.broadcast(a), "i").join(
-        F.broadcast(b), "j").select("feature_a", "feature_b", "r")
+    return found.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select("feature_a", "feature_b", F.nanvl("r", F.lit(None).cast("double")).alias("r"))
 
 
 def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -204,69 +176,95 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def correlated_features(
-    vectors: DataFrame, candidates: DataFrame, features: Sequence[str], threshold: float, fold: str = "fold"
-) -> DataFrame:
+def correlated_features(held: Marked, base: DataFrame, features: Sequence[str], threshold: float, fold: str = "fold") -> DataFrame:
     """(fold, feature, correlated_with) of the features to drop.
 
-    `candidates` holds (fold, feature, position) still in play, `vectors` the centred rows.
-    Features are visited by falling variance, ties in feature order; the edges one task walks
-    are at most features squared, whatever the number of rows.
+    `base` has (fold, feature, position, median, n_rows, _step); features without a _step are in
+    play, missing values stand at the fold's median. Features are visited by falling variance,
+    ties in feature order; the edges one task walks are at most features squared, whatever the
+    number of rows.
     """
-    # Read three times below; folds x features squared at most.
-    sums = cut_lineage(pair_sums(vectors, fold, len(features)))
-    var = F.col("sxx") / F.col("n") - F.pow(F.col("sx") / F.col("n"), F.lit(2))
-    # Eleven digits, so rounding noise cannot reorder features of equal variance.
-    level = F.format_string("%.10e", var).cast("double")
-    spread = sums.where("i = j").select(fold, F.col("i").alias("position"), level.alias("level"))
-    order = Window.partitionBy(fold).orderBy(F.col("level").desc(), "position")
-    ranked = candidates.select(fold, "feature", "position").join(spread, [fold, "position"]).withColumn(
-        "rank", F.row_number().over(order))
-    strong = sums.where("i < j").withColumn("r", correlation_of_sums()).where(F.abs("r") > threshold)
-    ri = ranked.select(fold, F.col("position").alias("i"), F.col("rank").alias("ri"))
-    rj = ranked.select(fold, F.col("position").alias("j"), F.col("rank").alias("rj"))
-    edges = strong.join(ri, [fold, "i"]).join(rj, [fold, "j"]).select(
-        F.col(fold).cast("int").alias(fold), F.least("ri", "rj").alias("rank_a"), F.greatest("ri", "rj").alias("rank_b"))
-    dropped = edges.groupBy(fold).applyInPandas(_walk, f"{fold} int, rank_b int, rank_a int")
-    b = ranked.select(fold, F.col("rank").alias("rank_b"), "feature")
-    a = ranked.select(fold, F.col("rank").alias("rank_a"), F.col("feature").alias("correlated_with"))
-    return dropped.join(b, [fold, "rank_b"]).join(a, [fold, "rank_a"]).select(fold, "feature", "correlated_with")
+    spark, width, block = base.sparkSession, len(features), held.block
+    state = base.select(fold, "position", "median", "n_rows", F.col("_step").isNull().alias("free")).toPandas()  # folds x features
+    centres = np.array([state["median"][state["position"] == p].dropna().mean() for p in range(width)])
+    centres = np.nan_to_num(centres)
+    # Read twice below; cells x features squared at most.
+    products = cut_lineage(block_products(held, centres))
+    shifts, counts, free = {}, {}, {}
+    for f, part in state.sort_values("position").groupby(fold):
+        shifts[int(f)] = np.nan_to_num(part["median"].to_numpy(float) - centres)
+        counts[int(f)] = float(part["n_rows"].iloc[0])
+        free[int(f)] = part["free"].to_numpy(bool)
+
+    def own_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Sums of x and x squared about the fold's median, from the diagonal blocks."""
+        f, i, _, (uu, ub, _, bb) = pandas_blocks(pdf, width, block)
+        d, n, s = shifts[f][i:i + len(uu)], np.diag(bb), np.diag(ub)
+        return pd.DataFrame({"fold": np.int32(f), "position": np.arange(i, i + len(uu), dtype=np.int32),
+                             "s1": s - d * n, "s2": np.diag(uu) - 2 * d * s + d * d * n})
+
+    blocks = fold_blocks(products, held)
+    sums = blocks.where("i = j").groupBy("fold", "i", "j").applyInPandas(own_sums, "fold int, position int, s1 double, s2 double").toPandas()
+    order: dict[int, np.ndarray] = {}
+    ones: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for f, part in sums.sort_values("position").groupby("fold"):
+        s1, s2 = part["s1"].to_numpy(), part["s2"].to_numpy()
+        ones[int(f)] = s1, s2
+        var = s2 / counts[int(f)] - (s1 / counts[int(f)]) ** 2
+        # Eleven digits, so rounding noise cannot reorder features of equal variance.
+        level = np.array([float("%.10e" % v) for v in var])
+        rank = np.zeros(width, np.int32)
+        rank[np.lexsort((np.arange(width), -level))] = np.arange(1, width + 1)
+        order[int(f)] = rank
+
+    def edges(pdf: pd.DataFrame) -> pd.DataFrame:
+        f, i, j, (uu, ub, bu, bb) = pandas_blocks(pdf, width, block)
+        left, right = slice(i, i + uu.shape[0]), slice(j, j + uu.shape[1])
+        d, e = shifts[f][left][:, None], shifts[f][right][None, :]
+        sxy = uu - e * ub - d * bu + d * e * bb
+        (s1, s2), n = ones[f], counts[f]
+        r = correlations(n, s1[left][:, None], s1[right][None, :], s2[left][:, None], s2[right][None, :], sxy)
+        strong = (np.abs(np.nan_to_num(r)) > threshold) & free[f][left][:, None] & free[f][right][None, :]
+        if i == j:
+            strong = np.triu(strong, 1)
+        a, b = np.nonzero(strong)
+        ra, rb = order[f][left][a], order[f][right][b]
+        return pd.DataFrame({"fold": np.full(len(a), f, np.int32), "rank_a": np.minimum(ra, rb), "rank_b": np.maximum(ra, rb)})
+
+    strong = blocks.groupBy("fold", "i", "j").applyInPandas(edges, "fold int, rank_a int, rank_b int")
+    dropped = strong.groupBy("fold").applyInPandas(_walk, "fold int, rank_b int, rank_a int")
+    ranked = spark.createDataFrame(
+        [(f, int(r), features[p]) for f, rank in order.items() for p, r in enumerate(rank)], "fold int, rank int, feature string")
+    b = ranked.select("fold", F.col("rank").alias("rank_b"), "feature")
+    a = ranked.select("fold", F.col("rank").alias("rank_a"), F.col("feature").alias("correlated_with"))
+    return dropped.join(b, ["fold", "rank_b"]).join(a, ["fold", "rank_a"]).select(F.col("fold").alias(fold), "feature", "correlated_with")
 
 
 # ---- the chain -------------------------------------------------------------------------
 
 def fit_filters(
-    long: DataFrame, rows: DataFrame, features: Sequence[str], limits: Thresholds = Thresholds(),
+    long: DataFrame, rows: DataFrame | TrainingCells, features: Sequence[str], limits: Thresholds = Thresholds(),
     fold: str = "fold",
 ) -> DataFrame:
     """Fit all five steps for every fold at once.
 
-    `long` is (row_id, feature, value), `rows` is (row_id, fold) with one row per row and fold
-    it trains in. Returns (fold, feature, position, missing_frac, same_share, median, scale,
+    `long` is (row_id, feature, value); `rows` the disjoint cells of rows and the folds they make
+    up, or (row_id, fold) with one row per row and fold it trains in. Returns (fold, feature, position, missing_frac, same_share, median, scale,
     dropped_by, correlated_with); `dropped_by` is NULL for kept features.
     """
-    training = long.join(rows.select("row_id", fold), "row_id")
-    profile = column_profile(training, rows, features, fold)
+    held = marked(row_vectors(long, features), training_cells(rows, fold), len(features))
+    profile = profile_of(held, features, fold)
     iqr = F.col("q75") - F.col("q25")
     step = (
         F.when(F.col("missing_frac") > limits.missing, "missingness")
         .when(F.col("imputed_same_share") > limits.same_share, "near_constant")
     )
-    # Read by three later steps and no larger than folds x features: written once.
+    # Read by later steps and no larger than folds x features: written once.
     base = cut_lineage(profile.select(
-        fold, "feature", "position", "missing_frac", F.col("imputed_same_share").alias("same_share"), "median",
+        fold, "feature", "position", "n_rows", "missing_frac", F.col("imputed_same_share").alias("same_share"), "median",
         F.when(iqr > SCALE_FLOOR, iqr).otherwise(F.lit(1.0)).alias("scale"), step.alias("_step"),
     ))
-    centres = base.groupBy(fold).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("position", F.coalesce("median", F.lit(0.0)).alias("m")))),
-        lambda s: s["m"]).alias("_c"))
-    centred = (
-        row_vectors(long, features).join(rows.select("row_id", fold), "row_id")
-        .join(F.broadcast(centres), fold)  # one row per fold
-        .select(fold, F.zip_with("x", "_c", lambda v, c: F.coalesce(v, c) - c).alias("x"))
-    )
-    candidates = base.where(F.col("_step").isNull())
-    linked = correlated_features(centred, candidates, features, limits.correlation, fold)
+    linked = correlated_features(held, base, features, limits.correlation, fold)
     return base.join(linked, [fold, "feature"], "left").select(
         fold, "feature", "position", "missing_frac", "same_share", "median", "scale",
         F.coalesce("_step", F.when(F.col("correlated_with").isNotNull(), "correlation")).alias("dropped_by"),

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.scalars import hash_unit
 from folioscope.operators import compare, metrics, models, neighbors, splits
 from folioscope.operators import preprocess as pp
+from folioscope.operators.foldsums import TrainingCells, cells_of_nested
 from folioscope.session import cut_lineage, shared_folder
 
 
@@ -76,19 +77,22 @@ def build_design(
         "row_id", (F.col("o") * step).alias("split"),
         F.when(F.col("outer_fold") == F.col("o"), "test").otherwise("train").alias("role"))
     roles = outer
+    step_cells = [(o * step, f) for o in range(plan.n_outer) for f in range(plan.n_outer) if f != o]
+    cells = TrainingCells(folded.select("row_id", F.col("outer_fold").alias("cell")), tuple(step_cells))
     if search:
         train = every.where(F.col("outer_fold") != F.col("o")).select("row_id", stratum, "o")
         if inner_stratum:
             inner = splits.stratified_folds(train, "row_id", inner_stratum, plan.n_inner, plan.seed, "i", ["o"])
         else:
             inner = splits.shuffled_folds(train, "row_id", plan.n_inner, plan.seed, "i", ["o"])
+        inner = cut_lineage(inner)
+        cells = cells_of_nested(inner, plan.n_outer, plan.n_inner)
         each = inner.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(plan.n_inner - 1))))
         roles = roles.unionByName(each.select(
             "row_id", (F.col("o") * step + 1 + F.col("s")).alias("split"),
             F.when(F.col("i") == F.col("s"), "test").otherwise("train").alias("role")))
     roles = cut_lineage(roles)
-    state = pp.fit_filters(
-        long, roles.where("role = 'train'").select("row_id", F.col("split").alias("fold")), features, plan.limits)
+    state = pp.fit_filters(long, cells, features, plan.limits)
     vectors = pp.row_vectors(long, features).join(roles, "row_id").join(folded.select("row_id", "label"), "row_id")
     ready = pp.transform_vectors(vectors.withColumnRenamed("split", "fold"), cut_lineage(state))
     path = f"{shared_folder(long.sparkSession)}/design-{uuid.uuid4().hex}"
