@@ -1,7 +1,7 @@
 """SHAP-style attributions and the tables read off them.
 
 Attributions are long: (row_id, feature, shap, feature_value). Trees are read back from the
-saved model as node rows and turned into one record per leaf; inside tasks a leaf contributes
+saved model as node rows and turned into one row per leaf by tasks; a leaf contributes
 val * (o_j - z_j) * integral over t in [0, 1] of prod_{k != j} (z_k + (o_k - z_k) t) to feature
 j, where o is 1 if the row satisfies the leaf's conditions on a feature and z is the share of
 training rows that does. The integrand is a polynomial, so Gauss-Legendre points are exact.
@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -38,19 +39,12 @@ COALITIONS = 200
 
 # ---- trees -----------------------------------------------------------------------------
 
-@dataclass
-class Leaf:
-    """Conditions of one leaf: per feature an open-closed interval and the cover share."""
+PACK_BYTES = 32 << 20
+PACK_ROWS = 64
 
-    features: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    share: np.ndarray
-    value: np.ndarray
 
-
-def tree_nodes(model, spark) -> pd.DataFrame:
-    """Node rows of a fitted tree ensemble. The model bounds their number, not the data."""
+def tree_nodes(model, spark) -> DataFrame:
+    """Node rows of a fitted tree ensemble, read back from its saved form."""
     path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
     model.write().save(path)
     data = spark.read.parquet(f"{path}/data")
@@ -62,27 +56,31 @@ def tree_nodes(model, spark) -> pd.DataFrame:
         "treeID", "id", "prediction", "impurityStats", "rawCount", "leftChild", "rightChild",
         F.col("split.featureIndex").alias("feature"),
         F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-    ).toPandas()
+    )
+
+
+LEAF = "member int, tree int, leaf int, features array<int>, low array<double>, high array<double>, share array<double>, value array<double>"
 
 
-def leaves_of(nodes: pd.DataFrame, weights: Sequence[float], classes: bool) -> list[Leaf]:
-    out: list[Leaf] = []
-    for tree, part in nodes.groupby("treeID"):
-        rows = {int(r.id): r for r in part.itertuples(index=False)}
+def leaf_rows(nodes: DataFrame, member: int, weights: Sequence[float], classes: bool) -> DataFrame:
+    """A row for each leaf: per feature on its path an open-closed interval and the share of
+    training rows that meets it, and the leaf's outputs. Each tree is walked by one task."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = {int(r.id): r for r in pdf.itertuples(index=False)}
+        tree = int(pdf["treeID"].iloc[0])
 
         def cover(r) -> float:
             return float(np.sum(r.impurityStats)) if classes else float(r.rawCount)
 
-        stack = [(0, {})]
+        out, stack = [], [(0, {})]
         while stack:
             at, seen = stack.pop()
             r = rows[at]
             if r.leftChild < 0:
                 value = np.asarray(r.impurityStats, float) / max(np.sum(r.impurityStats), 1e-300) if classes else np.array([r.prediction])
                 names = sorted(seen)
-                out.append(Leaf(
-                    np.array(names, dtype=int), np.array([seen[f][0] for f in names]), np.array([seen[f][1] for f in names]),
-                    np.array([seen[f][2] for f in names]), value * weights[int(tree)]))
+                out.append((member, tree, len(out), names, *([seen[f][k] for f in names] for k in range(3)), (value * weights[tree]).tolist()))
                 continue
             whole = cover(r)
             for child, left in ((int(r.leftChild), True), (int(r.rightChild), False)):
@@ -90,25 +88,31 @@ def leaves_of(nodes: pd.DataFrame, weights: Sequence[float], classes: bool) -> l
                 share *= cover(rows[child]) / whole if whole else 0.5
                 bounds = (lo, min(hi, r.threshold), share) if left else (max(lo, r.threshold), hi, share)
                 stack.append((child, {**seen, int(r.feature): bounds}))
-    return out
-
-
-def leaf_attributions(x: np.ndarray, leaves: Sequence[Leaf], outputs: int) -> np.ndarray:
-    """(rows, features, outputs) attributions of a batch."""
-    phi = np.zeros((len(x), x.shape[1], outputs))
-    for leaf in leaves:
-        d = len(leaf.features)
-        if d == 0:
-            continue
-        t, w = np.polynomial.legendre.leggauss(d // 2 + 1)
-        t, w = (t + 1) / 2, w / 2
-        v = x[:, leaf.features]
-        hit = ((v > leaf.low) & (v <= leaf.high)).astype(float)
-        gap = hit - leaf.share
-        factor = leaf.share[None, :, None] + gap[:, :, None] * t[None, None, :]
-        whole = factor.prod(axis=1)
-        part = ((whole[:, None, :] / factor) * w).sum(axis=2) * gap
-        phi[:, leaf.features, :] += part[:, :, None] * leaf.value[None, None, :]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in LEAF.split(", ")])
+
+    return nodes.groupBy("treeID").applyInPandas(walk, LEAF)
+
+
+def leaf_attributions(x: np.ndarray, features: np.ndarray, low: np.ndarray, high: np.ndarray, share: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """(rows, features, outputs) attributions of leaves that have equally many features: arrays
+    (leaves, features on the path) and (leaves, outputs)."""
+    n_leaves, d = features.shape
+    width, outputs = x.shape[1], value.shape[1]
+    t, w = np.polynomial.legendre.leggauss(d // 2 + 1)
+    t, w = (t + 1) / 2, w / 2
+    phi = np.zeros((len(x), width, outputs))
+    step = max(1, (1 << 21) // (len(x) * d * len(t)))
+    for start in range(0, n_leaves, step):
+        some = slice(start, start + step)
+        at = features[some]
+        v = x[:, at]  # rows, leaves, path
+        gap = ((v > low[some]) & (v <= high[some])) - share[some]
+        factor = share[some][None, :, :, None] + gap[..., None] * t
+        part = ((factor.prod(axis=2)[:, :, None, :] / factor) @ w) * gap
+        spread = np.zeros((at.size, width))
+        spread[np.arange(at.size), at.ravel()] = 1.0
+        for k in range(outputs):
+            phi[:, :, k] += (part * value[some][None, :, None, k]).reshape(len(x), -1) @ spread
     return phi
 
 
@@ -118,6 +122,10 @@ def tree_attributions(fitted: Fitted, rows: DataFrame, features: Sequence[str])
     Explained output: the class probability for trees and forests (positive class; mean
     absolute value over classes beyond two), the log-odds for boosted classes, the prediction
     for values. The base value is NaN where signs were averaged away.
+
+    Rows and leaves are dealt to a grid of packs of about `PACK_BYTES`; a task multiplies one
+    pack of rows by one of leaves, and the parts of a row are summed. Neither rows nor leaves
+    are gathered.
     """
     spark = rows.sparkSession
     model = fitted.stages[0]
@@ -127,33 +135,61 @@ def tree_attributions(fitted: Fitted, rows: DataFrame, features: Sequence[str])
     else:
         members = [(model, 2.0 if boosted and fitted.n_classes else 1.0)]
     classes = bool(fitted.n_classes) and not boosted
-    packs = []
-    for m, scale in members:
+    leaves = None
+    for number, (m, scale) in enumerate(members):
         n_trees = m.getNumTrees if hasattr(m, "getNumTrees") else 1
         n_trees = n_trees() if callable(n_trees) else n_trees
         weights = list(m.treeWeights) if hasattr(m, "treeWeights") else [1.0]
         share = 1.0 if boosted else 1.0 / n_trees
-        packs.append(leaves_of(tree_nodes(m, spark), [w * share * scale for w in weights], classes))
-    outputs = fitted.n_classes if classes else 1
-    names = list(features)
-    signed = len(packs) == 1 and outputs <= 2
-
-    def explain(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.array([np.asarray(v, float) for v in pdf["x"]])
-            phis = [leaf_attributions(x, leaves, outputs) for leaves in packs]
-            phi = np.concatenate(phis, axis=2)
-            one = phi[:, :, -1] if signed else np.abs(phi).mean(axis=2)
-            yield pd.DataFrame({
-                "row_id": np.repeat(pdf["row_id"].to_numpy(), len(names)), "feature": names * len(pdf),
-                "shap": one.ravel(), "feature_value": x.ravel()})
-
-    long = rows.select("row_id", vector_to_array("features").alias("x")).mapInPandas(
-        explain, "row_id bigint, feature string, shap double, feature_value double")
-    base = float(sum(float(l.share.prod()) * l.value[-1] for l in packs[0])) if signed else float("nan")
-    return long, base
+        own = leaf_rows(tree_nodes(m, spark), number, [w * share * scale for w in weights], classes)
+        leaves = own if leaves is None else leaves.unionAll(own)
+    leaves = cut_lineage(leaves)
+    per = fitted.n_classes if classes else 1
+    outputs = per * len(members)
+    names, width = list(features), len(features)
+    signed = len(members) == 1 and outputs <= 2
+
+    size = leaves.agg(F.sum(28 * F.size("features") + 8 * F.size("value") + 32)).first()[0] or 0
+    n = rows.count()
+    leaf_packs = -(-size // PACK_BYTES) or 1
+    row_packs = max(1, -(-n * width * 8 // PACK_BYTES), min(spark.sparkContext.defaultParallelism, n // PACK_ROWS))
+    row_type = rows.schema["row_id"].dataType.simpleString()
+    left = rows.select("row_id", vector_to_array("features").alias("x")).withColumn("a", F.pmod(F.xxhash64("row_id"), F.lit(row_packs))).withColumn(
+        "b", F.explode(F.sequence(F.lit(0), F.lit(leaf_packs - 1))))
+    right = leaves.withColumn("b", F.pmod(F.xxhash64("member", "tree", "leaf"), F.lit(leaf_packs)).cast("int")).withColumn(
+        "a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_packs - 1).cast("long"))))
+
+    def explain(some, packed):
+        if not some.num_rows or not packed.num_rows:
+            return pa.table({"row_id": some["row_id"].slice(0, 0), "position": pa.array([], pa.int32()), "output": pa.array([], pa.int32()), "shap": pa.array([], pa.float64())})
+        x = some["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, width)
+        phi = np.zeros((len(x), width, outputs))
+        depth, member = pc.list_value_length(packed["features"]).to_numpy(), packed["member"].to_numpy()
+        for d, k in sorted(set(zip(depth.tolist(), member.tolist()))):
+            if not d:
+                continue  # a tree of one leaf adds to the base only
+            part = packed.filter(pa.array((depth == d) & (member == k)))
+            arrays = [part[c].combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1) for c in ("features", "low", "high", "share", "value")]
+            phi[:, :, k * per:(k + 1) * per] += leaf_attributions(x, *arrays)
+        shown = phi[:, :, -1:] if signed else phi
+        one = shown.shape[2]
+        at = np.repeat(np.arange(len(x)), width * one)
+        return pa.table({
+            "row_id": some["row_id"].take(pa.array(at)), "position": pa.array(np.tile(np.repeat(np.arange(width, dtype=np.int32), one), len(x))),
+            "output": pa.array(np.tile(np.arange(one, dtype=np.int32), len(x) * width)), "shap": pa.array(shown.ravel())})
+
+    parts = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(explain, f"row_id {row_type}, position int, output int, shap double")
+    if leaf_packs > 1:
+        parts = parts.groupBy("row_id", "position", "output").agg(F.sum("shap").alias("shap"))
+    if not signed:
+        parts = parts.groupBy("row_id", "position").agg(F.avg(F.abs("shap")).alias("shap"))
+    label = F.get(F.array(*[F.lit(f) for f in names]), F.col("position"))
+    values = rows.select("row_id", F.posexplode(vector_to_array("features")).alias("position", "feature_value"))
+    long = parts.join(values, ["row_id", "position"]).select("row_id", label.alias("feature"), "shap", "feature_value")
+    if not signed:
+        return long, float("nan")
+    whole = F.aggregate("share", F.lit(1.0), lambda acc, z: acc * z) * F.element_at("value", -1)
+    return long, float(leaves.agg(F.sum(whole)).first()[0])
 
 
 # ---- linear ----------------------------------------------------------------------------

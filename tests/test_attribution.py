@@ -34,12 +34,13 @@ def shapley(f, width):
 
 def test_leaf_formula_is_shapley():
     rng = np.random.default_rng(1)
-    leaf = at.Leaf(np.array([0, 2, 3]), np.array([-1.0, -np.inf, 0.0]), np.array([1.0, 0.5, np.inf]), np.array([0.3, 0.6, 0.8]), np.array([2.0]))
+    features, low, high, share = [0, 2, 3], [-1.0, -np.inf, 0.0], [1.0, 0.5, np.inf], [0.3, 0.6, 0.8]
+    leaf = [np.array([v]) for v in (features, low, high, share, [2.0])]
     for x in rng.normal(size=(6, 4)):
-        hit = {f: float(lo < x[f] <= hi) for f, lo, hi in zip(leaf.features, leaf.low, leaf.high)}
-        z = dict(zip(leaf.features, leaf.share))
+        hit = {f: float(lo < x[f] <= hi) for f, lo, hi in zip(features, low, high)}
+        z = dict(zip(features, share))
         game = lambda s: 2.0 * np.prod([hit[f] if f in s else z[f] for f in z])
-        got = at.leaf_attributions(x[None, :], [leaf], 1)[0, :, 0]
+        got = at.leaf_attributions(x[None, :], *leaf)[0, :, 0]
         assert got == pytest.approx(shapley(game, 4), abs=1e-12)
 
 
@@ -55,6 +56,29 @@ def test_tree_attributions_add_up(rows, model_id, params):
         assert total[r["row_id"]] == pytest.approx(want, abs=1e-6)
 
 
+def test_row_and_leaf_packs_change_nothing(rows, monkeypatch):
+    fitted = md.fit_classifier("rf", {"n_estimators": 12, "max_depth": 5}, rows, 2)
+    whole = {(r["row_id"], r["feature"]): r["shap"] for r in at.tree_attributions(fitted, rows, NAMES)[0].collect()}
+    monkeypatch.setattr(at, "PACK_BYTES", 2000)
+    named = rows.select(F.concat(F.lit("r"), "row_id").alias("row_id"), "label", "features")
+    long, base = at.tree_attributions(fitted, named, NAMES)
+    got = {(int(r["row_id"][1:]), r["feature"]): r["shap"] for r in long.collect()}
+    assert got.keys() == whole.keys() and all(got[k] == pytest.approx(v, abs=1e-12) for k, v in whole.items())
+
+
+def test_many_classes_average_their_sizes(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 3))
+    y = np.digitize(x[:, 0] + 0.3 * x[:, 1], [-0.5, 0.5]).astype(float)
+    df = spark.createDataFrame([(i, [float(v) for v in r], float(t)) for i, (r, t) in enumerate(zip(x, y))], "row_id bigint, x array<double>, label double")
+    rows = df.select("row_id", "label", array_to_vector("x").alias("features"))
+    for model_id in ("dt", "xgb"):
+        fitted = md.fit_classifier(model_id, {"max_depth": 3, "n_estimators": 2}, rows, 3)
+        long, base = at.tree_attributions(fitted, rows, NAMES[:3])
+        assert np.isnan(base) and long.count() == 360 and long.where("shap < 0").count() == 0
+        assert at.top_features(long, 1).first()["feature"] == "a"
+
+
 def test_kernel_agrees_with_linear(rows):
     fitted = md.fit_regressor("ridge", {"alpha": 0.001, "l1_ratio": 0.0}, rows)
     w = fitted.stages[0].coefficients.toArray()
