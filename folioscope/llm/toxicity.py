@@ -1,8 +1,9 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
 1. Counts: every text is cut into words; a word and its first five and four characters are three
-   features, each counted under its own 64-bit hash. Tasks count the documents that hold a feature, among all documents and, for rows that may be learned from, among toxic
-   and other ones in two folds. Near copies share one vote: documents with one label and the same
+   features, each counted under its own 64-bit hash. Tasks count the documents that hold a
+   feature, among toxic and other labelled ones in two folds, then, for the features known from
+   `ENOUGH` of those, among all documents. A fit reads `LABELLED` labelled ids at most. Near copies share one vote: documents with one label and the same
    smallest hash of a word triple divide it, or a toxic text's copies would make its whole
    wording look toxic.
 2. Weights: log-odds of a feature between the two classes under a Dirichlet prior (`FLAT` of a
@@ -15,12 +16,13 @@
 4. Extreme values: the best segment of n words of ordinary text exceeds s with probability
    1 - exp(-K n exp(-lambda s)); K and lambda are fitted to the learnable rows that aren't toxic,
    as are the two parameters that turn the evidence of a text's significant segments into a
-   probability. Both fits see binned sums of all those rows, a bounded table, and score a row
+   probability. Both fits see binned sums of the labelled rows, a bounded table, and score a row
    with weights learned from the other fold, so that it doesn't vouch for itself.
 
-What reaches the driver and is broadcast (20 bytes each) are the features known from `ENOUGH`
-labelled documents that weigh more than `FLOOR`, and those below it that may hide a shorter one
-(they begin alike); all others weigh `FLOOR` anyway. Beside them only the bins reach the driver.
+What reaches the driver and is broadcast are the features known from `ENOUGH` labelled documents
+(8 bytes each) and, with their weights (20 bytes), those that weigh more than `FLOOR` or may hide
+a shorter one (they begin alike); all others weigh `FLOOR` anyway. `LABELLED` bounds both. Beside
+them only the bins reach the driver.
 
 Cases: null and empty texts have no segments and get the score of no evidence; null ids count as
 the empty text in the split; several labels of one id count as toxic if one is; without labels
@@ -44,6 +46,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.llm.common import bounded_batches, sliced, texts_of, worker_kept
 from folioscope.llm.decontam import word_hashes
@@ -55,6 +58,7 @@ CLASSES = 5  # all; toxic and other of fold 0; toxic and other of fold 1
 LEARNED = (((1, 3), (2, 4)), ((3,), (4,)), ((1,), (2,)))  # toxic and other: both folds, without fold 0, without fold 1
 SIGNIFICANT = 0.05
 REMEMBERED, FLUSH = 400_000, 150_000
+LABELLED = 200_000  # most labelled ids a fit reads
 REJECT = 0.7
 MARKS = string.punctuation + "«»“”‘’„…—–¡¿"
 
@@ -96,37 +100,50 @@ def copy_mark(text: str | None) -> int:
     return int((mixed ^ mixed >> np.uint64(32)).min()) >> 1
 
 
-def votes(documents: DataFrame, labels: DataFrame) -> DataFrame:
+@F.arrow_udf(T.LongType())
+def copy_marks(texts: pa.Array) -> pa.Array:
+    return pa.array([copy_mark(t) for t in texts_of(texts)], pa.int64())
+
+
+def labelled_texts(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(doc_id, text, toxic, part, kind, vote) of the learnable labelled rows, written once: the
+    only rows whose labels are met. Of more than `most` ids, those of the lowest hashes."""
+    usable = labels.where(learnable() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = staged(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumnRenamed("doc_id", "_label_id"), "chosen-labels")
+    some = bounded_batches(documents).where(learnable()).select("doc_id", "text")
+    met = some.join(F.broadcast(chosen), some["doc_id"] == chosen["_label_id"])  # at most `most` rows
+    marked = staged(met.select("doc_id", "text", "toxic", fold().cast("int").alias("part"), copy_marks("text").alias("mark")), "labelled-texts")
+    shared = marked.groupBy("mark", "toxic").agg((1 / F.count(F.lit(1))).alias("vote"))
+    kind = (F.col("part") * 2 + F.when(F.col("toxic") == 1, 1).otherwise(2)).cast("int")
+    return marked.join(shared, ["mark", "toxic"]).select("doc_id", "text", "toxic", "part", kind.alias("kind"), "vote")
+
+
+def votes(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
     """(doc_id, toxic, vote) of the learnable labelled rows."""
+    return labelled_texts(documents, labels, most).select("doc_id", "toxic", "vote")
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            mark = pa.array([copy_mark(t) for t in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), mark], ["doc_id", "mark"])
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    marked = bounded_batches(documents).where(learnable()).select("doc_id", "text").mapInArrow(marks, f"doc_id {kind}, mark long")
-    usable = labels.where(learnable() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = staged(usable.join(marked.groupBy("doc_id").agg(F.min("mark").alias("mark")), "doc_id"), "copy-marks")
-    shared = known.groupBy("mark", "toxic").agg((1 / F.count(F.lit(1))).alias("vote"))
-    return known.join(shared, ["mark", "toxic"]).select("doc_id", "toxic", "vote")
-
-
-def feature_counts(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(feature, c0 .. c4): documents by the features they hold, a column for each of CLASSES. labels: (doc_id, toxic). Only texts of learnable rows are shuffled to their labels; the corpus
-    is counted where it is read."""
-    cast = staged(votes(documents, labels).withColumnRenamed("doc_id", "_label_id"), "votes")
-    kind = (fold() * 2 + F.when(F.col("toxic") == 1, 1).otherwise(2)).cast("int")
-    some = documents.where(learnable()).select("doc_id", "text")
-    known = some.join(cast.hint("merge"), some["doc_id"] == cast["_label_id"]).select("text", kind.alias("kind"), "vote")
-    corpus = documents.select("text", F.lit(0).alias("kind"), F.lit(1.0).alias("vote"))
+
+def feature_counts(documents: DataFrame, labels: DataFrame, known_texts: DataFrame | None = None) -> DataFrame:
+    """(feature, c0 .. c4): documents by the features they hold, a column for each of CLASSES, of
+    the features known from ENOUGH labelled documents; and, as feature null, the sums over all
+    features. The corpus is counted where it is read, for known features only."""
+    if known_texts is None:
+        known_texts = staged(labelled_texts(documents, labels, LABELLED), "voting-texts")
     sums = [F.sum(F.when(F.col("kind") == k, F.col("votes")).otherwise(0.0)).alias(f"c{k}") for k in range(CLASSES)]
-    return counted_features(corpus).union(counted_features(known)).groupBy("feature").agg(*sums)
+    mine = staged(counted_features(known_texts.select("text", "kind", "vote")).groupBy("feature").agg(*sums), "labelled-counts")
+    enough = mine.where(sum((F.col(f"c{k}") for k in range(2, CLASSES)), F.col("c1")) >= ENOUGH)
+    features = np.sort(enough.select("feature").toArrow().column("feature").to_numpy())
+    sent = documents.sparkSession.sparkContext.broadcast(features)
+    corpus = counted_features(documents.select("text", F.lit(0).alias("kind"), F.lit(1.0).alias("vote")), sent)
+    whole = mine.select(F.lit(None).cast("long").alias("feature"), *[f"c{k}" for k in range(CLASSES)])
+    rows = enough.union(whole).union(corpus.groupBy("feature").agg(*sums))
+    return rows.groupBy("feature").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(CLASSES)])
 
 
-def counted_features(rows: DataFrame) -> DataFrame:
+def counted_features(rows: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
     """(feature, kind, votes): sums of vote over the texts of a task that hold a feature, for each
-    kind; a feature may have several rows. rows: (text, kind, vote)."""
+    kind; a feature may have several rows. rows: (text, kind, vote). With `wanted`, features in
+    order, the others only enter the sum of all, which has feature null."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_kept("counts", dict)
@@ -140,6 +157,10 @@ def counted_features(rows: DataFrame) -> DataFrame:
                 if len(some):
                     features, back = np.unique(hashes[some].ravel(), return_inverse=True)
                     sums = np.bincount(back, np.repeat(counts[k][some], 3))
+                    if wanted is not None:
+                        total, held = sums.sum(), np.isin(features, wanted.value, assume_unique=True)
+                        features, sums = features[held], sums[held]
+                        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([k], pa.int32()), pa.array([total])], ["feature", "kind", "votes"])
                     yield pa.RecordBatch.from_arrays([pa.array(features), pa.array(np.full(len(features), k, np.int32)), pa.array(sums)], ["feature", "kind", "votes"])
             numbers.clear()
 
@@ -155,7 +176,7 @@ def counted_features(rows: DataFrame) -> DataFrame:
                 if len(counts[k]) < len(numbers):
                     counts[k] = np.pad(counts[k], (0, len(numbers) - len(counts[k])))
                 if seen[k]:
-                    np.add.at(counts[k], np.array(seen[k], np.int64), np.array(shares[k]))
+                    counts[k] += np.bincount(np.array(seen[k], np.int64), np.array(shares[k]), len(counts[k]))
             if len(numbers) > FLUSH:
                 yield from settled()
                 counts = [np.zeros(0)] * CLASSES
@@ -169,7 +190,8 @@ def feature_weights(counts: DataFrame) -> DataFrame:
     """(feature, w0, w1, w2) of the features that can change a word's score: cautious log-odds by
     LEARNED, null where too little is known."""
     counts = staged(counts, "feature-counts")
-    totals = [x or 0.0 for x in counts.agg(*(F.sum(f"c{k}") for k in range(CLASSES))).first()]
+    totals = [x or 0.0 for x in (counts.where("feature IS NULL").select(*[f"c{k}" for k in range(CLASSES)]).first() or [0.0] * CLASSES)]
+    counts = counts.where("feature IS NOT NULL")
     weights = []
     for toxic_at, other_at in LEARNED:
         toxic_all, other_all = sum(totals[k] for k in toxic_at), sum(totals[k] for k in other_at)
@@ -288,26 +310,22 @@ def evidence_of(n: int, scores: list[float], rate: float, scale: float) -> float
     return sum(rate * (s - bound) + 1.0 for s in scores if s >= bound)
 
 
-def text_segments(documents: DataFrame, words_known: Broadcast) -> DataFrame:
-    """doc_id, n (words), scores of all maximal segments of each document and, for learnable
-    rows, cross: the same by the weights of the other fold."""
+def cross_segments(known_texts: DataFrame, words_known: Broadcast) -> DataFrame:
+    """(toxic, n, scores): words and scores of all maximal segments of each labelled text, by the
+    weights of the other fold."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = scores_of(words_known)
         for batch in sliced(batches):
-            sizes, scores, cross = [], [], []
+            sizes, scores = [], []
             for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist()):
                 words = (text or "").lower().split()
                 sizes.append(len(words))
-                found = [[s for s, _, _ in maximal_segments(x)] for x in weights.of(words, 0, *([] if part is None else [1 + part]))]
-                scores.append(found[0])
-                cross.append(found[1] if len(found) > 1 else None)
-            kind = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(scores, kind), pa.array(cross, kind)], ["doc_id", "n", "scores", "cross"])
+                scores.append([s for s, _, _ in maximal_segments(weights.of(words, 1 + part)[0])])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(sizes, pa.int64()), pa.array(scores, pa.list_(pa.float64()))], ["toxic", "n", "scores"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    parted = documents.select("doc_id", "text", F.when(learnable(), fold()).cast("int").alias("part"))
-    return parted.mapInArrow(scan, f"doc_id {kind}, n long, scores array<double>, cross array<double>")
+    kind = known_texts.schema["toxic"].dataType.simpleString()
+    return known_texts.select("toxic", "text", "part").mapInArrow(scan, f"toxic {kind}, n long, scores array<double>")
 
 
 def fit_extremes(clean: DataFrame) -> tuple[float, float]:
@@ -361,32 +379,19 @@ def fit_probability(rows: DataFrame) -> tuple[float, float]:
     return float(max(0.0, params[0])), float(params[1])
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> tuple[ToxicityModel, DataFrame]:
-    """The model and the segments of every document (doc_id, n, scores; written once)."""
-    spark = documents.sparkSession
-    words_known = spark.sparkContext.broadcast((f"toxic words {uuid.uuid4()}", *collected(feature_weights(feature_counts(documents, labels)))))
-    segments = staged(text_segments(documents, words_known), "segments")
-    usable = labels.where(learnable()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IS NOT NULL")
-    known = staged(segments.join(usable, "doc_id").withColumn("scores", F.col("cross")), "known-segments")
+def fit(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[ToxicityModel, DataFrame]:
+    """The model of at most `most` labelled ids, and (toxic, n, scores) of their texts."""
+    known_texts = staged(labelled_texts(documents, labels, most), "voting-texts")
+    weights = collected(feature_weights(feature_counts(documents, labels, known_texts)))
+    words_known = documents.sparkSession.sparkContext.broadcast((f"toxic words {uuid.uuid4()}", *weights))
+    known = staged(cross_segments(known_texts, words_known), "known-segments")
     rate, scale = fit_extremes(known.where("toxic = 0"))
     slope, offset = fit_probability(known.withColumn("evidence", evidence_column(rate, scale)))
-    return ToxicityModel(words_known, rate, scale, slope, offset), segments
-
-
-def probability(model: ToxicityModel, evidence: Column) -> Column:
-    return 1 / (1 + F.exp(-(squashed(evidence) * model.slope + model.offset)))
-
-
-def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
-    model, segments = fit(documents, labels)
-    out = segments.select("doc_id", ~learnable().alias("x"), probability(model, evidence_column(model.rate, model.scale)).alias("score")).toDF("doc_id", "held_out", "score")
-    return out.withColumn("predicted", (F.col("score") >= REJECT).cast("int"))
+    return ToxicityModel(words_known, rate, scale, slope, offset), known
 
 
-def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents without those predicted toxic; each row is judged by its own text."""
-    model, _ = fit(documents, labels)
+def probability(model: ToxicityModel) -> Column:
+    """Probability of `text` being toxic: each text is scanned once."""
 
     @F.arrow_udf("double")
     def evidence(texts: pa.Array) -> pa.Array:
@@ -396,4 +401,16 @@ def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
             out.append(model.evidence(len(words), maximal_segments(weights.of(words, 0)[0])))
         return pa.array(out, pa.float64())
 
-    return documents.where(probability(model, evidence("text")) < REJECT)
+    return 1 / (1 + F.exp(-(squashed(evidence("text")) * model.slope + model.offset)))
+
+
+def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    model, _ = fit(documents, labels)
+    out = bounded_batches(documents).select("doc_id", (~learnable()).alias("held_out"), probability(model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= REJECT).cast("int"))
+
+
+def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """documents without those predicted toxic; each row is judged by its own text."""
+    return bounded_batches(documents).where(probability(fit(documents, labels)[0]) < REJECT)
