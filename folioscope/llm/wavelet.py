@@ -16,6 +16,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +33,7 @@ END_ID = 0
 SHARD_TOKENS = 1 << 21
 BLOCK = 512
 REMEMBERED = 700_000
+MARKS = string.punctuation
 
 
 def _byte_characters() -> dict[int, str]:
@@ -46,12 +48,15 @@ class WordEncoder(dict):
     """Whole texts to ids with a byte-level BPE file of the tokenizers library.
 
     Its pattern always cuts before a single blank that stands in front of another character, so
-    texts are taken apart there. In such a part, letters alone are one word of the pattern and
-    go straight to the library's model; a part that ends in one mark, or has single line ends
-    between letters, falls into its words; all other parts, and texts with an added token,
-    take the library's whole way. Parts are remembered by the Python worker, up to `REMEMBERED`."""
+    texts are taken apart there: at every blank, unless some blank stands in front of white space
+    or the end (`LOOSE`). In such a part, letters alone are one word of the pattern and go
+    straight to the library's model; a part of lines of letters with marks behind them falls
+    into its words; all other parts, and texts with an added token,
+    take the library's whole way. As a dictionary it holds the ids of parts by what follows their
+    blank, `parts` holds those of other parts; the Python worker keeps `REMEMBERED` of each."""
 
     CUT = re.compile(r"(?= \S)")
+    LOOSE = re.compile(r" (?:\s|\Z)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,34 +66,51 @@ class WordEncoder(dict):
         self.model._resize_cache(0)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bytes = _byte_characters()
+        self.codes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, part: str) -> bytes:
-        bare = part[1:] if part[:1] == " " else part
-        ids = self.word(part) if bare.isalpha() or len(part) == 1 else self.words_of(part)
-        if ids is None:
-            ids = self.whole(part)
+    def __missing__(self, bare: str) -> bytes:
+        ids = self.fresh(" " + bare)
         if len(self) < REMEMBERED:
-            self[part] = ids
+            self[bare] = ids
+        return ids
+
+    def part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.fresh(part)
+            if len(self.parts) < REMEMBERED:
+                self.parts[part] = ids
         return ids
 
+    def fresh(self, part: str) -> bytes:
+        if not part:
+            return b""
+        bare = part[1:] if part[:1] == " " else part
+        ids = self.word(part) if bare.isalpha() or len(part) == 1 else self.words_of(part)
+        return self.whole(part) if ids is None else ids
+
     def word(self, word: str) -> bytes:
         """One word of the pattern."""
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.bytes))
-        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        text = word.replace(" ", self.bytes[32]) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.bytes)
+        return b"".join([self.codes[t.id] for t in self.model.tokenize(text)])
 
     def words_of(self, part: str) -> bytes | None:
-        """A part made of letters, single marks behind them and single line ends between."""
+        """A part made of lines of letters and marks behind them, with single line ends between."""
         found = []
         for i, line in enumerate(part.split("\n")):
-            last = line[-1:]
-            body = line if last.isalpha() else line[:-1]
+            body = line.rstrip(MARKS)
             letters = body[1:] if not i and body[:1] == " " else body
-            if not letters.isalpha() or not (last.isalpha() or last in ",.;:!?"):
+            if not letters.isalpha():
                 return None
-            found += [self["\n"]] * (i > 0) + [self[body]] + ([] if last.isalpha() else [self[last]])
+            if i:
+                found.append(self.part("\n"))
+            found.append(self[letters] if letters is not body else self.part(body))
+            if len(body) < len(line):
+                found.append(self.part(line[len(body):]))
         return b"".join(found)
 
     def encode(self, text: str | None) -> bytes:
@@ -97,7 +119,10 @@ class WordEncoder(dict):
             return b""
         if any(a in text for a in self.added):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, self.CUT.split(text)))
+        if self.LOOSE.search(text):
+            return b"".join(map(self.part, self.CUT.split(text)))
+        head, *rest = text.split(" ")
+        return self.part(head) + b"".join(map(self.__getitem__, rest))
 
 
 class WaveletMatrix:
