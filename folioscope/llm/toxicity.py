@@ -36,7 +36,6 @@ import math
 import string
 import uuid
 from array import array
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -72,13 +71,30 @@ def fold() -> Column:
     return F.floor(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) / 3) % 2
 
 
+class Beginnings(dict):
+    """beginning of a word -> hash, kept up to REMEMBERED."""
+
+    def __init__(self, seed: int):
+        self.seed = seed
+
+    def __missing__(self, part: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[part] = h = xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass"), self.seed)
+        return h
+
+
+_FIVE, _FOUR = Beginnings(2), Beginnings(3)
+
+
 def feature_hashes(word: str) -> tuple[int, int, int]:
     """Hashes of a word, its first five and its first four characters, without marks at its ends.
     All three begin with the same 24 bits, those of the first four characters' hash."""
     bare = word.strip(MARKS) or word
-    whole, five, four = (xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass"), seed) for seed, part in enumerate((bare, bare[:5], bare[:4]), 1))
+    four = _FOUR[bare[:4]]
     top, rest = four >> OWN_BITS << OWN_BITS, (1 << OWN_BITS) - 1
-    return top | whole & rest, top | five & rest, four
+    whole = xxhash.xxh64_intdigest(bare.encode("utf-8", "surrogatepass"), 1)
+    return top | whole & rest, top | _FIVE[bare[:5]] & rest, four
 
 
 class Numbers(dict):
@@ -219,36 +235,39 @@ def collected(weights: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordScores(dict):
-    """word -> number; `scores[k][number]` is its score by the k-th weights."""
+    """word -> number; `scores[k][number]` is its score by the k-th weights. Words met since the
+    last `settle` have no score yet."""
 
     def __init__(self, features: np.ndarray, weights: np.ndarray):
-        self.features, self.weights = memoryview(features), weights
+        self.features, self.weights = features, weights
         self.scores = [array("f") for _ in weights]
+        self.fresh: list[str] = []
 
     def __missing__(self, word: str) -> int:
-        places = []
-        for h in feature_hashes(word):
-            h -= h >> 63 << 64  # as a signed number
-            at = bisect_left(self.features, h)
-            if at < len(self.features) and self.features[at] == h:
-                places.append(at)
-        for weights, scores in zip(self.weights, self.scores):
-            best = FLOOR
-            for at in places:
-                weight = weights.item(at)
-                if weight == weight:  # not NaN
-                    best = min(CEILING, max(FLOOR, weight))
-                    break
-            scores.append(best - DRIFT)
         self[word] = n = len(self)
+        self.fresh.append(word)
         return n
 
+    def settle(self) -> None:
+        """Scores of the fresh words: the weight of the most special known feature."""
+        hashes = np.array([feature_hashes(w) for w in self.fresh], np.uint64).view(np.int64)
+        at = np.minimum(np.searchsorted(self.features, hashes), max(0, len(self.features) - 1))
+        hit = self.features[at] == hashes if len(self.features) else np.zeros(hashes.shape, bool)
+        for weights, scores in zip(self.weights, self.scores):
+            found = np.where(hit, weights[at], np.nan) if len(self.features) else np.full(hashes.shape, np.nan)
+            usable = ~np.isnan(found)
+            best = found[np.arange(len(found)), usable.argmax(1)]
+            scores.frombytes((np.where(usable.any(1), np.clip(best, FLOOR, CEILING), FLOOR) - DRIFT).astype(np.float32).tobytes())
+        self.fresh = []
+
     def of(self, words: list[str], *kinds: int) -> list[np.ndarray]:
         """Scores of the words of a text, wherever they stand, by some of the weights."""
         if len(self) > REMEMBERED:
             self.clear()
             self.scores = [array("f") for _ in self.weights]
         ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            self.settle()
         return [np.frombuffer(self.scores[k], np.float32)[ids].astype(np.float64) if len(ids) else np.zeros(0) for k in kinds]
 
 
