@@ -48,7 +48,8 @@ def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.shares(table(spark, sf_dir, "documents", "doc_id", "source", "text")).drop("positions")
+    out = mixing.shares(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return out.withColumn("first_position", F.round(F.get("positions", F.lit(0)) + 1e-9, 6)).drop("positions")
 
 
 def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,14 +129,18 @@ WITH d AS (
          / (sum(weight) OVER (ORDER BY 3.0 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level,
          row_number() OVER (ORDER BY 3.0 * source_size / weight, source NULLS LAST) AS i FROM r), v AS (
   SELECT arg_min(level, i) AS level FROM o WHERE 3 * source_size >= level * weight), t AS (
-  SELECT source, source_size, CASE WHEN 3 * source_size < v.level * weight THEN (3 * source_size)::DOUBLE ELSE v.level * weight END AS target
+  SELECT source, source_size, CASE weight WHEN 1 THEN 0.0 WHEN 2 THEN 0.5 ELSE -0.5 END::DOUBLE AS slope,
+         CASE WHEN 3 * source_size < v.level * weight THEN (3 * source_size)::DOUBLE ELSE v.level * weight END AS target
   FROM r, v), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.slope,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE + d.size::DOUBLE / 2 AS middle,
          CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS passes
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (size * least(3, passes + CASE WHEN middle < target - passes * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM p""",
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source), c AS (
+  SELECT *, least(3, passes + CASE WHEN middle < target - passes * source_size THEN 1 ELSE 0 END) AS copies,
+         CASE WHEN target > 0 THEN least(1.0::DOUBLE, middle / target) END AS u FROM p)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken,
+       CASE WHEN copies > 0 THEN round(CASE WHEN slope = 0 THEN u ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * u) - (1 - slope)) / (2 * slope) END + 1e-9, 6) END AS first_position
+FROM c""",
     "op9_line_runs": r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), l AS (

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.llm.common import BLANKS
 from folioscope.session import drop_path, scratch_path, staged
@@ -36,11 +37,17 @@ def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def text_mark() -> Column:
+    """With the doc_id it names a row's text, so that places of lines belong to it."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def line_hashes(documents: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, h, g): the distinct hashes of the long enough line keys of each row."""
-    keys = F.filter(F.transform(text_lines(F.col("text")), line_key), lambda k: F.length(k) >= min_chars)
-    hashes = F.array_distinct(F.transform(keys, key_hash))
-    return documents.select("doc_id", F.explode(hashes).alias("x")).select("doc_id", "x.h", "x.g")
+    """(doc_id, mark, at, h, g): place and hashes of every line whose key is long enough."""
+    keys = F.transform(text_lines(F.col("text")), lambda line, i: F.struct(i.alias("at"), line_key(line).alias("key")))
+    long_ones = F.filter(keys, lambda k: F.length(k["key"]) >= min_chars)
+    found = F.transform(long_ones, lambda k: F.struct(k["at"].alias("at"), key_hash(k["key"]).alias("k")))
+    return documents.select("doc_id", text_mark().alias("mark"), F.explode(found).alias("x")).select("doc_id", "mark", "x.at", "x.k.h", "x.k.g")
 
 
 class LineRuns:
@@ -91,19 +98,27 @@ class LineRuns:
 
 
 def lost_lines(hashes: DataFrame, runs: LineRuns) -> DataFrame:
-    """(doc_id, lost): the line hashes each document loses to an earlier holder."""
+    """(doc_id, mark, lost): places, in order, of the lines a text loses to an earlier holder."""
     held = runs.read()
     pairs = hashes.join(held, ["h", "g"]).where(
         F.col("holder").isNotNull() & (F.col("doc_id").isNull() | (F.col("holder") < F.col("doc_id"))))
-    return pairs.groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("lost"))
+    return pairs.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("at")).alias("lost"))
+
+
+def batch_edges(hashes: DataFrame, batches: int) -> list:
+    """doc_ids that cut the lines into about equal batches; they only decide where work runs."""
+    marks = [i / batches for i in range(1, batches)]
+    if isinstance(hashes.schema["doc_id"].dataType, T.NumericType):
+        return sorted(set(hashes.agg(F.percentile_approx("doc_id", marks, 10_000)).first()[0] or []))
+    some = sorted(r[0] for r in hashes.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id")).limit(1000).collect())
+    return sorted({some[int(m * len(some))] for m in marks}) if some else []
 
 
 def deduplicated(documents: DataFrame, min_chars: int = 10, batches: int = 4) -> DataFrame:
     """documents with `text` reduced to the lines that stay, n_lines (before) and n_dropped."""
     spark = documents.sparkSession
     hashes = staged(line_hashes(documents, min_chars), "line-hashes")
-    cuts = hashes.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
-    edges = [None, *sorted(set(cuts)), None]
+    edges = [None, *batch_edges(hashes, batches), None]
     runs = LineRuns(spark)
     for low, high in zip(edges, edges[1:]):
         batch = hashes
@@ -112,18 +127,22 @@ def deduplicated(documents: DataFrame, min_chars: int = 10, batches: int = 4) ->
         if high is not None:
             batch = batch.where(F.col("doc_id") < high)
         runs.add(batch)
-    lost = lost_lines(hashes, runs).select(F.col("doc_id").alias("_lost_id"), F.col("lost").alias("_lost"))
-    joined = documents.join(lost, documents["doc_id"].eqNullSafe(lost["_lost_id"]), "left")
-
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return (F.length(key) < min_chars) | ~F.array_contains(F.col("_lost"), key_hash(key))
-
-    lines = text_lines(F.col("text"))
-    kept = F.when(F.col("_lost").isNull(), lines).otherwise(F.filter(lines, stays))
-    total = F.size(lines).cast("long")
+    # Written once: its places are looked up for each line.
+    lost = staged(lost_lines(hashes, runs), "lost-lines").select(F.col("doc_id").alias("_lost_id"), F.col("mark").alias("_lost_mark"), F.col("lost").alias("_lost"))
     others = [c for c in documents.columns if c not in ("text", "n_lines", "n_dropped")]
-    out = joined.select(*others, kept.alias("_kept"), total.alias("n_lines"))
+    # Split before the join, so that no later expression splits the text for each of its lines.
+    marked = documents.select(*others, text_mark().alias("_mark"), text_lines(F.col("text")).alias("_lines"))
+    joined = marked.join(lost, marked["doc_id"].eqNullSafe(F.col("_lost_id")) & (F.col("_mark") == F.col("_lost_mark")), "left")
+
+    def stretch(stop: Column, i: Column) -> Column:
+        """True for the lines that stay before a lost one, or before the end, false for that."""
+        first = F.when(i > 0, F.get("_lost", i - 1) + 1).otherwise(0)
+        return F.concat(F.array_repeat(F.lit(True), stop - first), F.array(F.lit(False)))
+
+    stays = F.flatten(F.transform(F.concat("_lost", F.array(F.size("_lines"))), stretch))
+    paired = F.filter(F.arrays_zip(F.col("_lines").alias("line"), stays.alias("stays")), lambda x: x["stays"])
+    kept = F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(F.transform(paired, lambda x: x["line"]))
+    out = joined.select(*others, kept.alias("_kept"), F.size("_lines").cast("long").alias("n_lines"))
     return out.select(
         *others, F.array_join("_kept", "\n").alias("text"), "n_lines",
         (F.col("n_lines") - F.size("_kept")).cast("long").alias("n_dropped"),

@@ -230,3 +230,30 @@ def test_risk_sums_equal_the_formula():
     e = 1e-5
     moved = pu_quality.risk_sums(model, (model.weights + e * np.eye(d)[3])[None])(x, good)
     assert np.isclose((moved[0] - s[0]) / e, s[4], rtol=1e-2)
+
+
+# -- lines ---------------------------------------------------------------------------------------
+
+def test_line_dedup_with_string_ids(spark):
+    from folioscope.llm import linededup
+
+    rows = [("a", "first line of text\nshared line here\nshort"), ("b", "shared line here\nSHARED LINE HERE \nown line of b"), (None, "own line of b\nshort")]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in linededup.deduplicated(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": (rows[0][1], 3, 0), "b": ("own line of b", 3, 2), None: ("short", 2, 1)}
+
+
+def test_line_dedup_time_grows_with_the_lines(spark, tmp_path):
+    import time
+
+    from folioscope.llm import linededup
+
+    def seconds(n):
+        rows = [(d, "\n".join(f"a line of the log number {i}" for i in range(n))) for d in (1, 2)]
+        path = str(tmp_path / f"log-{n}")
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+        start = time.perf_counter()
+        assert linededup.deduplicated(spark.read.parquet(path)).agg({"n_dropped": "sum"}).first()[0] == n
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(80_000) < 10 * max(1.0, seconds(10_000))
