@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.scalars import hash_int, safe_divide, shorten
-from folioscope.operators.metrics import pearson
 from folioscope.operators.models import Fitted
 from folioscope.session import cut_lineage, shared_folder
 
@@ -42,6 +41,9 @@ COALITIONS = 200
 PACK_BYTES = 32 << 20
 PACK_ROWS = 64
 
+# Matrix cells of rows x features that the correlation sums hold at a time.
+BATCH_CELLS = 1 << 21
+
 
 def tree_nodes(model, spark) -> DataFrame:
     """Node rows of a fitted tree ensemble, read back from its saved form."""
@@ -276,6 +278,7 @@ def kernel_attributions(
     values into attributions is one fixed matrix applied to each row's array of values.
     """
     spark = rows.sparkSession
+    row_type = rows.schema["row_id"].dataType.simpleString()
     width = len(features)
     n = rows.count()
     clusters = KMeans(k=min(centres, n), seed=seed, featuresCol="features").fit(rows.select("features"))
@@ -320,7 +323,7 @@ def kernel_attributions(
                 phi = np.hstack([front, (gap - front.sum(axis=1))[:, None]])
             yield pd.DataFrame({"row_id": np.repeat(pdf["row_id"].to_numpy(), width), "feature": names * len(pdf), "shap": phi.ravel()})
 
-    shap = arrays.mapInPandas(attribute, "row_id bigint, feature string, shap double")
+    shap = arrays.mapInPandas(attribute, f"row_id {row_type}, feature string, shap double")
     labels = F.array(*[F.lit(f) for f in names])
     values = rows.select("row_id", F.posexplode(vector_to_array("features")).alias("p", "feature_value")).select(
         "row_id", F.get(labels, F.col("p")).alias("feature"), "feature_value")
@@ -362,21 +365,83 @@ def beeswarm(shap: DataFrame, k: int = TOP_GLOBAL) -> DataFrame:
     return scaled_in_feature(shap.join(chosen, "feature")).withColumn("label", shorten("feature"))
 
 
+def cross_correlations(shap: DataFrame, chosen: Sequence[str]) -> DataFrame:
+    """(feature, other, r): attributions of the chosen features against the values of every other.
+
+    A row's cells meet once, as one list; tasks turn lists into matrices and keep the sums of
+    their products, so only features x chosen sums are shuffled. A missing or NaN side leaves
+    its pair out; constant sides and pairs met less than twice give 0.
+    """
+    spark = shap.sparkSession
+
+    if not chosen:
+        return spark.createDataFrame([], "feature string, other string, r double")
+
+    def known(name):
+        return F.nullif(F.col(name).cast("double"), F.lit(float("nan")))
+
+    centres = shap.groupBy("feature").agg(
+        F.coalesce(F.avg(known("feature_value")), F.lit(0.0)).alias("v"), F.coalesce(F.avg(known("shap")), F.lit(0.0)).alias("s"),
+        (F.min(known("feature_value")) < F.max(known("feature_value"))).alias("v_varies"),
+        (F.min(known("shap")) < F.max(known("shap"))).alias("s_varies")).orderBy("feature").collect()  # one row a feature
+    names = [r["feature"] for r in centres]
+    at, width, tops = {f: i for i, f in enumerate(names)}, len(names), list(chosen)
+    v_mean, v_moves = np.array([r["v"] for r in centres]), np.array([bool(r["v_varies"]) for r in centres])
+    s_mean = np.array([centres[at[f]]["s"] for f in tops])
+    s_moves = np.array([bool(centres[at[f]]["s_varies"]) for f in tops])
+    top_at = np.array([at[f] for f in tops], int)
+    numbers = spark.createDataFrame(list(at.items()), "feature string, position int")
+    lists = shap.join(F.broadcast(numbers), "feature").groupBy("row_id").agg(F.collect_list(
+        F.struct("position", known("feature_value").alias("v"), known("shap").alias("s"))).alias("cells"))
+    some = max(1, BATCH_CELLS // max(1, width))
+
+    def sums(batches):
+        total = np.zeros((6, width, len(tops)))
+        for whole in batches:
+            for start in range(0, whole.num_rows, some):
+                cells = whole.column(0).slice(start, some)
+                row = np.repeat(np.arange(len(cells)), pc.list_value_length(cells).to_numpy(zero_copy_only=False))
+                flat = cells.flatten()
+                column = flat.field("position").to_numpy(zero_copy_only=False)
+                v, s = np.full((len(cells), width), np.nan), np.full((len(cells), width), np.nan)
+                v[row, column] = flat.field("v").to_numpy(zero_copy_only=False)
+                s[row, column] = flat.field("s").to_numpy(zero_copy_only=False)
+                v, s = v - v_mean, s[:, top_at] - s_mean
+                has_v, has_s = (~np.isnan(v)).astype(float), (~np.isnan(s)).astype(float)
+                v, s = np.nan_to_num(v, nan=0.0) * v_moves, np.nan_to_num(s, nan=0.0) * s_moves
+                total += [has_v.T @ has_s, v.T @ has_s, has_v.T @ s, (v * v).T @ has_s, has_v.T @ (s * s), v.T @ s]
+        flat = total.reshape(6, -1)
+        yield pa.RecordBatch.from_pydict({
+            "p": pa.array(np.repeat(np.arange(width, dtype=np.int32), len(tops))),
+            "t": pa.array(np.tile(np.arange(len(tops), dtype=np.int32), width)),
+            **{m: pa.array(x) for m, x in zip(("n", "v", "s", "vv", "ss", "vs"), flat)}})
+
+    met = lists.select("cells").mapInArrow(sums, "p int, t int, n double, v double, s double, vv double, ss double, vs double")
+    added = met.groupBy("p", "t").agg(*[F.sum(m).alias(m) for m in ("n", "v", "s", "vv", "ss", "vs")])
+    own_v = F.col("vv") - F.col("v") * safe_divide(F.col("v"), F.col("n"))
+    own_s = F.col("ss") - F.col("s") * safe_divide(F.col("s"), F.col("n"))
+    both = F.col("vs") - F.col("v") * safe_divide(F.col("s"), F.col("n"))
+    r = F.when((own_v > 0) & (own_s > 0), both / F.sqrt(own_v * own_s)).otherwise(F.lit(0.0))
+    return added.where(F.col("p") != F.get(F.array(*[F.lit(int(i)) for i in top_at]), F.col("t"))).select(
+        F.get(F.array(*[F.lit(f) for f in tops]), F.col("t")).alias("feature"),
+        F.get(F.array(*[F.lit(f) for f in names]), F.col("p")).alias("other"), r.alias("r"))
+
+
 def dependence(shap: DataFrame, k: int = TOP_DEPENDENCE) -> DataFrame:
     """(rank, feature, row_id, feature_value, shap, interaction, interaction_value, scaled).
 
     The interaction is the other feature whose values correlate most with the attributions.
     """
-    top = top_features(shap, k).select("feature", "rank")
-    mine = shap.join(F.broadcast(top), "feature").select("rank", "feature", "row_id", "feature_value", "shap")
-    others = shap.select("row_id", F.col("feature").alias("other"), F.col("feature_value").alias("other_value"))
-    paired = mine.join(others, "row_id").where("feature <> other")
-    strength = paired.groupBy("rank", "feature", "other").agg(
-        F.coalesce(F.abs(pearson(F.col("other_value"), F.col("shap"))), F.lit(0.0)).alias("r"))
-    best = strength.groupBy("rank", "feature").agg(
-        F.min(F.struct(F.round(-F.col("r"), 12).alias("k"), "other")).alias("b")).select("rank", "feature", F.col("b.other").alias("interaction"))
-    joined = mine.join(F.broadcast(best), ["rank", "feature"]).join(
-        others.select("row_id", F.col("other").alias("interaction"), F.col("other_value").alias("interaction_value")), ["row_id", "interaction"])
+    top = {r["feature"]: r["rank"] for r in top_features(shap, k).collect()}  # k rows
+    ranks = shap.sparkSession.createDataFrame(list(top.items()), "feature string, rank int")
+    strength = cross_correlations(shap, list(top))
+    best = ranks.join(strength.groupBy("feature").agg(
+        F.min(F.struct(F.round(-F.abs("r"), 12).alias("k"), "other")).alias("b")), "feature").select(
+        "rank", "feature", F.col("b.other").alias("interaction"))
+    mine = shap.join(F.broadcast(best), "feature").select("rank", "feature", "row_id", "feature_value", "shap", "interaction")
+    others = shap.select("row_id", F.col("feature").alias("interaction"), F.col("feature_value").alias("interaction_value")).join(
+        F.broadcast(best.select("interaction").distinct()), "interaction")
+    joined = mine.join(others, ["row_id", "interaction"])
     span = joined.groupBy("feature").agg(F.min("interaction_value").alias("_lo"), F.max("interaction_value").alias("_hi"))
     place = safe_divide(F.col("interaction_value") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     return joined.join(F.broadcast(span), "feature").withColumn(

@@ -75,7 +75,7 @@ class BlockedPoints:
                 yield pdf.assign(cell=cell.astype("int32"), to_pivot=d[np.arange(len(d)), cell])
 
         typed = points.select("id", "grp", F.col("vec").cast("array<double>").alias("vec"))
-        schema = "id bigint, grp string, vec array<double>, cell int, to_pivot double"
+        schema = f"id {id_type(points)}, grp string, vec array<double>, cell int, to_pivot double"
         located = typed.mapInPandas(assign, schema)
         sizes = located.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("_n"))
         parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / block_rows))
@@ -105,6 +105,11 @@ class BlockedPoints:
         ).select("block_a", "block_b")
 
 
+def id_type(df: DataFrame, column: str = "id") -> str:
+    """Type of an id column as schema text; ids may be numbers or strings."""
+    return df.schema[column].dataType.simpleString()
+
+
 def _other_side(held: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows of block_b for every pair, under names of their own for the co-grouping."""
     return held.withColumnRenamed("block", "block_b").join(pairs, "block_b").select(
@@ -125,7 +130,8 @@ def knn_exact(points: DataFrame, k: int, group: str | None = None, block_rows: i
         x, ids = _matrix(pdf["vec"]), pdf["id"].to_numpy()
         return _best(_distances(x, x), ids, ids, k)
 
-    schema = "id bigint, nn_id bigint, distance double"
+    kind = id_type(points)
+    schema = f"id {kind}, nn_id {kind}, distance double"
     first = held.groupBy("block").applyInPandas(own, schema)
     # Distance to the k-th neighbour inside the own block bounds the search outside it.
     bound = first.groupBy("id").agg(
@@ -136,7 +142,7 @@ def knn_exact(points: DataFrame, k: int, group: str | None = None, block_rows: i
 
     def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"id": [], "nn_id": [], "distance": []})
+            return pd.DataFrame({"id": [], "nn_id": [], "distance": []}, dtype=object)
         d = _distances(_matrix(left["vec"]), _matrix(right["other_vec"]))
         return _best(d, left["id"].to_numpy(), right["other"].to_numpy(), k, left["bound"].to_numpy())
 
@@ -251,7 +257,7 @@ def fuzzy_weights(neighbours: DataFrame, k: int) -> DataFrame:
                 "w": np.concatenate([w[i, :len(v)] for i, v in enumerate(pdf["nn"])]),
             })
 
-    one_way = lists.mapInPandas(weigh, "src bigint, dst bigint, w double")
+    one_way = lists.mapInPandas(weigh, f"src {id_type(lists)}, dst {id_type(lists)}, w double")
     both = one_way.unionByName(one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     return both.groupBy("src", "dst").agg(
         (F.sum("w") - F.when(F.count(F.lit(1)) == 2, F.product("w")).otherwise(0.0)).alias("weight"))
@@ -282,7 +288,7 @@ def trustworthiness(points: DataFrame, embedding: DataFrame, k: int, block_rows:
 
     def closer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"id": [], "nn_id": [], "closer": []})
+            return pd.DataFrame({"id": [], "nn_id": [], "closer": []}, dtype=object)
         ids_b = right["other"].to_numpy()
         x_b = _matrix(right["other_vec"])
         d = _distances(_matrix(left["vec"]), x_b)
@@ -299,7 +305,7 @@ def trustworthiness(points: DataFrame, embedding: DataFrame, k: int, block_rows:
     a = packed.withColumnRenamed("block", "block_a").join(pairs, "block_a").select("block_a", "block_b", "id", "vec", "nn", "ends")
     b = _other_side(held, pairs)
     counted = a.groupBy("block_a", "block_b").cogroup(b.groupBy("to_a", "to_b")).applyInPandas(
-        closer, "id bigint, nn_id bigint, closer bigint")
+        closer, f"id {id_type(points)}, nn_id {id_type(points)}, closer bigint")
     ranks = counted.groupBy("id", "nn_id").agg((F.sum("closer") + 1).alias("r"))
     penalty = ranks.agg(F.coalesce(F.sum(F.greatest(F.col("r") - k, F.lit(0))), F.lit(0)).alias("s"))
     norm = 2.0 / (n_rows * k * (2.0 * n_rows - 3 * k - 1))

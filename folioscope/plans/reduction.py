@@ -24,7 +24,7 @@ def with_clinical(rows: DataFrame, meta: DataFrame | None, key: str = "row_id")
 
 def reduce_dimensions(
     rows: DataFrame, features: Sequence[str], meta: DataFrame | None = None, methods: Sequence[str] = METHODS,
-    n_neighbors: int = 15, min_dist: float = 0.1, seed: int = 42, epochs: int = 12,
+    n_neighbors: int = 15, min_dist: float = 0.1, seed: int = 42, epochs: int = rd.EPOCH_LIMIT,
 ) -> dict[str, DataFrame]:
     """Tables of the chosen methods for rows (row_id, features vector)."""
     methods = [m.lower() for m in methods]
@@ -47,9 +47,12 @@ def reduce_dimensions(
         planes.append(coords.select(F.lit("pca").alias("method"), "row_id", F.get("coords", F.lit(0)).alias("x"), F.get("coords", F.lit(1)).alias("y")))
     if "umap" in methods:
         pts = rows.select(F.col("row_id").alias("id"), vector_to_array("features").alias("vec"))
-        emb = rd.graph_embedding(pts, n_neighbors, min_dist, 2, epochs, seed)
+        run = rd.graph_layout(pts, n_neighbors, min_dist, 2, epochs, seed)
+        emb = run.vectors
         flat = emb.select(F.col("id").alias("row_id"), F.get("vec", F.lit(0)).alias("UMAP1"), F.get("vec", F.lit(1)).alias("UMAP2"))
         out["umap_embedding"] = with_clinical(flat, meta)
+        out["umap_run"] = spark.createDataFrame(
+            [(run.epochs, epochs, run.movement, run.settled)], "epochs int, epoch_limit int, movement double, settled boolean")
         out["umap_trustworthiness"] = trustworthiness(pts, emb, n_neighbors)
         planes.append(flat.select(F.lit("umap").alias("method"), "row_id", F.col("UMAP1").alias("x"), F.col("UMAP2").alias("y")))
     combined = planes[0] if planes else None

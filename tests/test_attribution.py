@@ -97,3 +97,36 @@ def test_candidates_are_distinct_and_seeded():
     assert len(md.sample_candidates(md.CLASSIFICATION_GRIDS["dt"], 500, 1)) == 40
     with pytest.raises(ValueError):
         md.model_grids("classification", ["nope"])
+
+
+def test_cross_correlations_match_numpy(spark, monkeypatch):
+    monkeypatch.setattr(at, "BATCH_CELLS", 64)  # several blocks a task
+    rng = np.random.default_rng(4)
+    n, width = 90, 6
+    v, s = rng.normal(size=(n, width)) * 3 + 1e4, rng.normal(size=(n, width))
+    s[:, 1] += 0.8 * (v[:, 4] - 1e4)
+    v[:, 2] = 0.1  # constant
+    v[::7, 3] = np.nan
+    s[::5, 1] = np.nan
+    cells = [(i, f"f{j}", None if np.isnan(s[i, j]) else float(s[i, j]), None if j == 3 and np.isnan(v[i, j]) and i % 2 else float(v[i, j]))
+             for i in range(n) for j in range(width) if (i, j) != (3, 5)]
+    v[3, 5] = s[3, 5] = np.nan
+    shap = spark.createDataFrame(cells, "row_id bigint, feature string, shap double, feature_value double").repartition(3)
+    got = {(r["feature"], r["other"]): r["r"] for r in at.cross_correlations(shap, ["f1", "f5"]).collect()}
+    assert len(got) == 2 * (width - 1)
+    for (f, o), r in got.items():
+        x, y = v[:, int(o[1])], s[:, int(f[1])]
+        both = ~np.isnan(x) & ~np.isnan(y)
+        want = 0.0 if o == "f2" else np.corrcoef(x[both], y[both])[0, 1]
+        assert r == pytest.approx(want, abs=1e-9)
+    best = {r["feature"]: r["interaction"] for r in at.dependence(shap, 6).select("feature", "interaction").distinct().collect()}
+    assert best["f1"] == "f4"
+    empty = shap.where("row_id < 0")
+    assert at.cross_correlations(empty, []).count() == 0 and at.dependence(empty).count() == 0
+
+
+def test_kernel_takes_string_ids(rows):
+    named = rows.limit(12).withColumn("row_id", F.concat(F.lit("r"), "row_id"))
+    fitted = md.fit_regressor("ridge", {"alpha": 0.001, "l1_ratio": 0.0}, rows)
+    got = at.kernel_attributions(fitted, named, NAMES, centres=5)
+    assert got.count() == 12 * len(NAMES) and got.where(~F.col("row_id").startswith("r")).count() == 0

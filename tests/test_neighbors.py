@@ -66,3 +66,15 @@ def test_trustworthiness_brute_force(cloud):
     want = 1 - 2 / (n * k * (2 * n - 3 * k - 1)) * sum(max(0, rank[i, j] - k) for i in range(n) for j in near[i])
     flat = df.select("id", F.slice("vec", 1, 1).alias("vec"))
     assert nb.trustworthiness(df, flat, k, block_rows=32).first()["trustworthiness"] == pytest.approx(want)
+
+
+def test_string_ids(cloud):
+    x, df = cloud
+    named = df.withColumn("id", F.format_string("p%04d", "id"))
+    plain = {(r["id"], r["rank"]): r["nn_id"] for r in nb.knn_exact(df, 4, block_rows=16).collect()}
+    for r in nb.knn_exact(named, 4, block_rows=16).collect():
+        assert int(r["nn_id"][1:]) == plain[int(r["id"][1:]), r["rank"]]
+    want = {r["label"]: r["count"] for r in nb.oversample(df, "label", 2).groupBy("label").count().collect()}
+    assert {r["label"]: r["count"] for r in nb.oversample(named, "label", 2).groupBy("label").count().collect()} == want
+    flat, flat_named = (d.select("id", F.slice("vec", 1, 1).alias("vec")) for d in (df, named))
+    assert nb.trustworthiness(named, flat_named, 5, block_rows=32).first() == nb.trustworthiness(df, flat, 5, block_rows=32).first()
