@@ -78,3 +78,42 @@ def test_string_ids(cloud):
     assert {r["label"]: r["count"] for r in nb.oversample(named, "label", 2).groupBy("label").count().collect()} == want
     flat, flat_named = (d.select("id", F.slice("vec", 1, 1).alias("vec")) for d in (df, named))
     assert nb.trustworthiness(named, flat_named, 5, block_rows=32).first() == nb.trustworthiness(df, flat, 5, block_rows=32).first()
+
+
+def test_more_rows_do_not_make_more_blocks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in r], "") for i, r in enumerate(x)], "id bigint, vec array<double>, grp string")
+    # With blocks of a fixed size every row was sent to 188 of them.
+    assert nb.BlockedPoints(df, block_rows=16).blocks.count() <= 3 * nb.BLOCKS
+
+
+def test_kernel_with_copies_and_missing_values():
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(50, 3)), np.zeros((80, 3)), [[np.nan, 0, 0]]])
+    ids = rng.permutation(len(x))
+    loose = np.full(len(x), np.inf)
+    d = nb._distances(x, x)
+    d[~np.isfinite(d) | (ids[:, None] == ids[None, :])] = np.inf
+    want = {(ids[i], ids[j]) for i in range(130) for j in sorted(range(130), key=lambda j: (d[i, j], ids[j]))[:4]}
+    for a, b in ((x, x[::-1]), (x[::-1], x)):
+        ids_a, ids_b = (ids if v is x else ids[::-1] for v in (a, b))
+        both = nb._nearest(a, ids_a, loose, b, ids_b, 4, loose)
+        assert set(zip(both["id"], both["nn_id"])) == want and len(both) == 2 * len(want)
+
+
+def test_approximate_equals_the_projection_join(cloud, spark):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    x, df = cloud
+    v = df.select("id", array_to_vector("vec").alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.7, numHashTables=3, seed=42).fit(v)
+    met = {}
+    for r in model.approxSimilarityJoin(v, v, 0.6, "d").select("datasetA.id", F.col("datasetB.id").alias("nn"), "d").collect():
+        if r["id"] != r["nn"]:
+            met.setdefault(r["id"], []).append((r["d"], r["nn"]))
+    want = {(i, n): rank for i, found in met.items() for rank, (_, n) in enumerate(sorted(found)[:4], 1)}
+    out = nb.knn_approximate(df, 4, 0.6, tables=3, bucket=0.7, block_rows=16)
+    assert "BroadcastNestedLoop" not in out._jdf.queryExecution().toString()
+    assert {(r["id"], r["nn_id"]): r["rank"] for r in out.collect()} == want
