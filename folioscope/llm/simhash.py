@@ -15,7 +15,8 @@ meet in such a point (exactly those at distance 4 or less) are linked to the sma
 which is linear in the cell.
 
 Equal fingerprints are one node, so copies are never paired. Components come from alternating
-large-star and small-star steps, each written to the shared folder.
+large-star and small-star steps, each written to the shared folder. Tables that grow with the
+documents are joined by merging: what is broadcast is gathered by the driver first.
 
 Cases: null and empty texts have fingerprint 0 and are linked like any other; texts are read
 whole; equal rows and repeated doc_ids are rows of their own with one component; null doc_ids
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import bounded_batches, texts_of
+from folioscope.llm.common import bounded_batches, texts_of, worker_kept
 from folioscope.session import staged
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -69,6 +70,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 @F.arrow_udf(T.LongType())
 def fingerprint_column(texts: pa.Array) -> pa.Array:
     """Fingerprints with their 64 bits in a signed long."""
+    worker_kept("fingerprints", dict)  # lets go of what an earlier stage left in the worker
     return pa.array(np.array([fingerprint(t) for t in texts_of(texts)], np.uint64).view(np.int64))
 
 
@@ -144,7 +146,7 @@ def links(nodes: DataFrame, hot_cell: int = HOT_CELL) -> DataFrame:
     members = cells.join(hot, ["triple", "cell"], "left_semi").select("fp").distinct()
     points = members.mapInArrow(_ball_points, "fp long, point long")
     first = points.groupBy("point").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stars = points.join(first, "point").where("a < fp").select("a", F.col("fp").alias("b"))
+    stars = points.join(first.hint("merge"), "point").where("a < fp").select("a", F.col("fp").alias("b"))
     return pairs.union(stars).distinct()
 
 
@@ -159,9 +161,9 @@ def components(pairs: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low.hint("merge"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = staged(small, "edges")
         after = mark(edges)
@@ -176,11 +178,11 @@ def clusters(prints: DataFrame) -> DataFrame:
     reachable over links."""
     first = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     roots = staged(components(links(first.select("fp"))).distinct(), "roots")
-    named = roots.join(first, roots["node"] == first["fp"]).select("node", "root", "first")
+    named = roots.join(first.hint("merge"), roots["node"] == first["fp"]).select("node", "root", "first")
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = named.join(lowest, "root").select(F.col("node").alias("fp"), "component_id")
-    labels = first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    linked = named.join(lowest.hint("merge"), "root").select(F.col("node").alias("fp"), "component_id")
+    labels = first.join(linked.hint("merge"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    return prints.join(labels.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_clusters(documents: DataFrame) -> DataFrame:
@@ -197,7 +199,7 @@ def near_distinct(documents: DataFrame) -> DataFrame:
     ids = counts.groupBy("_keep_id").agg(F.sum("n").alias("rows"), F.first("_keep_fp").alias("_keep_fp"))
     marked = documents.withColumn("_fp", fingerprint_column("text"))
     same = marked["doc_id"].eqNullSafe(F.col("_keep_id")) & (marked["_fp"] == F.col("_keep_fp"))
-    single = marked.join(ids.where("rows = 1"), same, "left_semi").drop("_fp")
+    single = marked.join(ids.where("rows = 1").hint("merge"), same, "left_semi").drop("_fp")
     more = ids.where("rows > 1").select(F.col("_keep_id").alias("_many_id"))
     if more.isEmpty():
         return single

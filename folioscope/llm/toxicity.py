@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import bounded_batches, sliced, texts_of, worker_kept
+from folioscope.llm.common import bounded_batches, kept_beside, sliced, texts_of, worker_kept
 from folioscope.llm.decontam import word_hashes
 from folioscope.session import staged
 
@@ -56,7 +56,7 @@ PRIOR, FLAT, CAUTION, FLOOR, DRIFT, CEILING = 0.002, 0.5, 2.0, -1.0, 0.1, 8.0
 CLASSES = 5  # all; toxic and other of fold 0; toxic and other of fold 1
 LEARNED = (((1, 3), (2, 4)), ((3,), (4,)), ((1,), (2,)))  # toxic and other: both folds, without fold 0, without fold 1
 SIGNIFICANT = 0.05
-REMEMBERED, FLUSH = 400_000, 150_000
+REMEMBERED, BEGINNINGS, FLUSH = 400_000, 150_000, 150_000
 LABELLED = 200_000  # most labelled ids a fit reads
 REJECT = 0.7
 MARKS = string.punctuation + "«»“”‘’„…—–¡¿"
@@ -72,29 +72,27 @@ def fold() -> Column:
 
 
 class Beginnings(dict):
-    """beginning of a word -> hash, kept up to REMEMBERED."""
+    """beginning of a word -> hash, kept up to BEGINNINGS."""
 
     def __init__(self, seed: int):
         self.seed = seed
 
     def __missing__(self, part: str) -> int:
-        if len(self) >= REMEMBERED:
+        if len(self) >= BEGINNINGS:
             self.clear()
         self[part] = h = xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass"), self.seed)
         return h
 
 
-_FIVE, _FOUR = Beginnings(2), Beginnings(3)
-
-
 def feature_hashes(word: str) -> tuple[int, int, int]:
     """Hashes of a word, its first five and its first four characters, without marks at its ends.
     All three begin with the same 24 bits, those of the first four characters' hash."""
     bare = word.strip(MARKS) or word
-    four = _FOUR[bare[:4]]
+    fives, fours = kept_beside("beginnings", lambda: (Beginnings(2), Beginnings(3)))
+    four = fours[bare[:4]]
     top, rest = four >> OWN_BITS << OWN_BITS, (1 << OWN_BITS) - 1
     whole = xxhash.xxh64_intdigest(bare.encode("utf-8", "surrogatepass"), 1)
-    return top | whole & rest, top | _FIVE[bare[:5]] & rest, four
+    return top | whole & rest, top | fives[bare[:5]] & rest, four
 
 
 class Numbers(dict):

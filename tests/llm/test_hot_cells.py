@@ -30,3 +30,22 @@ def test_hot_cells_keep_components(spark):
     for limit in (2, 4096):
         found = {r["node"]: r["root"] for r in components(links(nodes, hot_cell=limit)).distinct().collect()}
         assert {p: found.get(p, p) for p in signed} == wanted
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    from folioscope.llm import simhash
+
+    prints = spark.createDataFrame([(i, (i % 7) * 3 + (i << 40)) for i in range(60)], "doc_id long, fp long")
+    found = simhash.clusters(prints)
+    assert found.count() == 60
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fingerprints_release_earlier_caches():
+    from folioscope.llm import common, simhash, toxicity
+
+    common.worker_kept("counts", dict)
+    toxicity.feature_hashes("insult")
+    assert "beginnings" in common._KEPT
+    simhash.worker_kept("fingerprints", dict)
+    assert "beginnings" not in common._KEPT and not hasattr(toxicity, "_FIVE")
