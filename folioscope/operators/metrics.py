@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.scalars import safe_divide, two_sided_t_p
-from folioscope.operators.ordered import average_ranks, exact_quantiles, running_sums_and_offsets, with_shard
+from folioscope.operators.ordered import average_ranks, combined, exact_quantiles, running_sums_and_offsets
 from folioscope.session import cut_lineage
 
 GRID_STEPS = 100
@@ -23,15 +23,18 @@ RUN = ["fold", "model"]
 
 # ---- curves ----------------------------------------------------------------------------
 
+def score_cells(known: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
+    """Positives and negatives of every distinct score of a group."""
+    return combined(known, keys, score, {
+        "pos": F.sum(F.col(label)).cast("bigint"), "neg": F.sum(1 - F.col(label)).cast("bigint")})
+
+
 def score_steps(pred: DataFrame, keys: Sequence[str] = RUN, label: str = "y_true", score: str = "y_prob") -> DataFrame:
     """One row per distinct score, best first: its positives and negatives, the sums of both
     before it and overall, and the counts of the next step (for dropping collinear points)."""
     keys = list(keys)
     known = pred.where(F.col(score).isNotNull())
-    cells = with_shard(known.select(*keys, label, score), score).groupBy(*keys, "shard", score).agg(
-        F.sum(F.col(label)).cast("bigint").alias("pos"),
-        F.sum(1 - F.col(label)).cast("bigint").alias("neg"),
-    )
+    cells = score_cells(known.select(*keys, label, score), keys, label, score)
     steps, _ = running_sums_and_offsets(cells, keys, score, ["pos", "neg"], descending=True)
     heads = cells.groupBy(*keys, "shard").agg(
         F.max_by("pos", score).alias("_hp"), F.max_by("neg", score).alias("_hn")
@@ -59,10 +62,7 @@ def auc_of_steps(steps: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
 def auc(pred: DataFrame, keys: Sequence[str] = RUN, label: str = "y_true", score: str = "y_prob") -> DataFrame:
     keys = list(keys)
     known = pred.where(F.col(score).isNotNull())
-    cells = with_shard(known.select(*keys, label, score), score).groupBy(*keys, "shard", score).agg(
-        F.sum(F.col(label)).cast("bigint").alias("pos"),
-        F.sum(1 - F.col(label)).cast("bigint").alias("neg"),
-    )
+    cells = score_cells(known.select(*keys, label, score), keys, label, score)
     steps, _ = running_sums_and_offsets(cells, keys, score, ["pos", "neg"], descending=True)
     return auc_of_steps(steps, keys)
 
@@ -143,7 +143,9 @@ def mean_roc(pred: DataFrame, fold: str = "fold", group: Sequence[str] = ("model
 def auc_one_vs_rest(pred: DataFrame, probs: str, n_classes: int, keys: Sequence[str] = RUN) -> DataFrame:
     """Macro mean of the one-vs-rest areas; NULL when a class is absent from a group."""
     keys = list(keys)
-    each = pred.select(*keys, "y_true", F.posexplode(probs).alias("class", "y_prob")).withColumn(
+    # Tasks of even size first: a row becomes n_classes rows, and few small partitions would hold them all.
+    dealt = pred.select(*keys, "y_true", probs).hint("rebalance")
+    each = dealt.select(*keys, "y_true", F.posexplode(probs).alias("class", "y_prob")).withColumn(
         "y_true", (F.col("y_true") == F.col("class")).cast("int"))
     per_class = auc(each, [*keys, "class"])
     return per_class.groupBy(*keys).agg(

@@ -1,11 +1,12 @@
 """Exact order statistics without ever holding one group in one task.
 
-Rows are first reduced to distinct values with their counts, which map-side combining does
-before the shuffle. Each value then falls into one of `SHARDS` value ranges whose bounds are
-approximate quantiles of the whole column, so a (group, shard) cell can hold only about
+Rows are reduced to distinct values with their counts. Groups are counted in hash buckets first;
+those of a bucket of up to `CELL_ROWS` rows are one cell each and their rows are moved once. The
+values of the others are combined before the shuffle and fall into `SHARDS` value ranges whose
+bounds are approximate quantiles of the column, so a (group, shard) cell can hold only about
 1/SHARDS of the column however large the group is. Running sums inside a cell plus the sums
-of the earlier cells give exact running sums over the group; the bounds only decide how the
-work is spread and never change a result.
+of the earlier cells give exact running sums over the group; buckets and bounds only decide how
+the work is spread and never change a result.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 SHARD_SIDE = 8
 SHARDS = SHARD_SIDE * SHARD_SIDE
 SKETCH_ACCURACY = 2000
+# Rows one cell may hold without value ranges, and the buckets groups are counted in.
+CELL_ROWS = 1_000_000
+BUCKETS = 65_536
 
 
 def with_shard(df: DataFrame, value: str, within: Sequence[str] = (), shard: str = "shard") -> DataFrame:
@@ -53,6 +57,33 @@ def with_shard(df: DataFrame, value: str, within: Sequence[str] = (), shard: str
     )
 
 
+def combined(
+    df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column], within: Sequence[str] = ()
+) -> DataFrame:
+    """One row per (keys, shard, value) with the aggregates `sums` of its rows.
+
+    The driver sees the numbers of the crowded buckets only, `BUCKETS` at most.
+    """
+    keys = list(keys)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)) if keys else F.lit(0)
+    marked = df.withColumn("_bucket", bucket.cast("int"))
+    crowded = marked.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CELL_ROWS).select("_bucket").collect()
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys, "shard", value).agg(*[e.alias(m) for m, e in sums.items()])
+
+    def whole(rows: DataFrame) -> DataFrame:
+        # Partitioned as the windows and joins over cells need it, so that no row moves again.
+        dealt = rows.repartition(*keys) if keys else rows
+        return summed(dealt.withColumn("shard", F.lit(0)))
+
+    if not crowded:
+        return whole(df)
+    listed = F.broadcast(df.sparkSession.createDataFrame([(r["_bucket"],) for r in crowded], "_bucket int"))
+    spread = summed(with_shard(marked.join(listed, "_bucket", "left_semi").drop("_bucket"), value, within))
+    return spread.unionByName(whole(marked.join(listed, "_bucket", "left_anti").drop("_bucket")))
+
+
 def shard_offsets(
     cells: DataFrame, keys: Sequence[str], shard: str, sums: dict[str, Column], descending: bool = False
 ) -> DataFrame:
@@ -114,13 +145,10 @@ def value_cells(
     rows = df.select(*keys, value)
     if not keep_missing:
         rows = rows.where(F.col(value).isNotNull())
-    cells = with_shard(rows, value, within).groupBy(*keys, "shard", value)
     if not keep_missing:
-        return cells.agg(F.count(F.lit(1)).alias("cnt"))
-    return cells.agg(
-        F.count(value).alias("cnt"),
-        (F.count(F.lit(1)) - F.count(value)).alias("missing"),
-    )
+        return combined(rows, keys, value, {"cnt": F.count(F.lit(1))}, within)
+    missing = F.count(F.lit(1)) - F.count(value)
+    return combined(rows, keys, value, {"cnt": F.count(value), "missing": missing}, within)
 
 
 def value_at(index: Column, value: str) -> Column:

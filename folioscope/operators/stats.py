@@ -128,56 +128,44 @@ def grouped_statistics(
 ) -> DataFrame:
     """Statistics when every entity fits one task: a single exchange, by entity.
 
-    The fences of an entity are packed into one map, so they come back to its rows by the same
-    key the rows are partitioned by, and both aggregations run without a further exchange.
+    The values of a metric become one sorted array per entity. Quantiles and fences are read from
+    its positions, the moments of the clipped values from its elements, all without another exchange.
     """
     names = [f"{m}{NAME_SEPARATOR}{v}" for m, v in cells]
-    held = frames.select(
+    held = frames.where(F.col(key).isNotNull()).select(
         key, *[c.cast("double").alias(n) for n, c in zip(names, cells.values())]
     ).repartition(key)
+    lists = held.groupBy(key).agg(*[F.sort_array(F.collect_list(name)).alias(name) for name in names])
+    parts = []
+    for name, (metric, variant) in zip(names, cells):
+        parts += [F.lit(metric), F.lit(variant), F.col(name)]
+    group = [key, "metric", "variant"]
+    long = lists.select(key, F.stack(F.lit(len(names)), *parts).alias("metric", "variant", "values"))
 
-    def stacked(df: DataFrame, *extra) -> DataFrame:
-        parts = []
-        for name, (metric, variant) in zip(names, cells):
-            parts += [F.lit(metric), F.lit(variant), F.col(name), *[e(name) for e in extra]]
-        labels = ["metric", "variant", "value"] + ["at"] * len(extra)
-        return df.select(key, F.stack(F.lit(len(names)), *parts).alias(*labels))
+    def quantile(p: float) -> Column:
+        position = (F.size("values") - 1) * F.lit(p)
+        low, high = F.floor(position).cast("int"), F.ceil(position).cast("int")
+        lo, hi = F.get("values", low), F.get("values", high)
+        return F.when(lo == hi, lo).otherwise((high - position) * lo + (position - low) * hi)
 
-    group = [key, "metric", "variant"]
-    marks = F.array(*[F.lit(p) for p in QUANTILES.values()])
-    located = stacked(held).groupBy(*group).agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"),
-        F.percentile("value", marks).alias("_q"),
-    )
-    q = {name: F.get("_q", F.lit(i)) for i, name in enumerate(QUANTILES)}
-    iqr = q["q75"] - q["q25"]
-    located = located.select(*group, F.struct(
-        "n", "mean", *[e.alias(name) for name, e in q.items()], iqr.alias("iqr"),
-        F.when(iqr > 0, q["q25"] - FENCE_IQRS * iqr).otherwise(q["q25"]).alias("lo"),
-        F.when(iqr > 0, q["q75"] + FENCE_IQRS * iqr).otherwise(q["q75"]).alias("hi"),
-    ).alias("at"))
-    packed = located.groupBy(key).agg(F.map_from_entries(F.collect_list(
-        F.struct(F.concat_ws(NAME_SEPARATOR, "metric", "variant").alias("k"), F.col("at").alias("v"))
-    )).alias("_at"))
-    fenced = stacked(
-        held.join(packed.hint("shuffle_hash"), key), lambda name: F.col("_at")[name]
-    )
-    clipped = clip(F.col("value"), F.col("at.lo"), F.col("at.hi"))
-    moments = fenced.groupBy(*group).agg(
-        # Constant within the group; scalar maxima keep this a hash aggregate.
-        *[F.max(f"at.{f}").alias(f) for f in ["n", "mean", *QUANTILES, "iqr"]],
-        F.stddev_samp(clipped).alias("_std"), F.avg(clipped).alias("_centre"),
-        F.stddev_pop(clipped).alias("_pop"), F.skewness(clipped).alias("_g1"), F.kurtosis(clipped).alias("_g2"),
-    )
-    n = F.col("n").cast("double")
-    varies = F.col("_pop") > 0
-    late = {
-        "std": F.col("_std"),
-        "cv": F.when(F.abs("_centre") > CV_GUARD * F.col("_std"), safe_divide(F.col("_std"), F.col("_centre"))),
-        "skewness": F.when(varies, F.col("_g1") * safe_divide(F.sqrt(n * (n - 1)), n - 2)),
-        "kurtosis": F.when(varies, safe_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.col("_g2") + 6)),
-    }
-    return _ready(moments, group, late, min_valid)
+    located = long.select(*group, "values", F.size("values").cast("bigint").alias("n"), *[
+        quantile(p).alias(name) for name, p in QUANTILES.items()])
+    iqr = F.col("q75") - F.col("q25")
+    fenced = located.select(
+        *group, "values", "n", *QUANTILES, iqr.alias("iqr"),
+        F.when(iqr > 0, F.col("q25") - FENCE_IQRS * iqr).otherwise(F.col("q25")).alias("lo"),
+        F.when(iqr > 0, F.col("q75") + FENCE_IQRS * iqr).otherwise(F.col("q75")).alias("hi"))
+    scale = F.when(F.col("iqr") > 0, F.col("iqr")).otherwise(F.lit(1.0))
+    scaled = fenced.select(
+        *group, "n", *QUANTILES, "iqr",
+        safe_divide(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), F.col("n")).alias("mean"),
+        F.transform("values", lambda x: (clip(x, F.col("lo"), F.col("hi")) - F.col("median")) / scale).alias("_d"))
+    powers = {"_s1": lambda s, d: s + d, "_s2": lambda s, d: s + d * d,
+              "_s3": lambda s, d: s + d * d * d, "_s4": lambda s, d: s + d * d * (d * d)}
+    # Sums of powers about the median, as in `clipped_moments`; the elements never become rows.
+    moments = scaled.select(*group, "n", *QUANTILES, "iqr", "mean", *[
+        F.when(F.col("n") > 0, F.aggregate("_d", F.lit(0.0), add)).alias(name) for name, add in powers.items()])
+    return _ready(moments, group, moment_statistics(F.col("n")), min_valid)
 
 
 def frame_statistics(

@@ -74,3 +74,33 @@ def test_quantiles_match_numpy(spark):
     out = exact_quantiles(df, ["g"], "v", {"lo": 0.1, "mid": 0.5, "hi": 0.9}).collect()
     for r in out:
         assert [r["lo"], r["mid"], r["hi"]] == pytest.approx(list(np.percentile(data[r["g"]], [10, 50, 90])))
+
+
+def test_long_groups_fall_into_value_ranges(spark, monkeypatch):
+    from folioscope.operators import ordered
+
+    monkeypatch.setattr(ordered, "CELL_ROWS", 100)
+    rng = np.random.default_rng(5)
+    data = {g: np.round(rng.gamma(2, 3, size), 1) for g, size in (("short", 60), ("long", 4000), ("mid", 150))}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs] + [("short", None)] * 7, "g string, v double")
+    cells = ordered.value_cells(df, ["g"], "v", keep_missing=True)
+    shards = {r["g"]: r["n"] for r in cells.groupBy("g").agg(F.countDistinct("shard").alias("n")).collect()}
+    assert shards["short"] == 1 and shards["long"] > 20
+    out = {r["g"]: r for r in st.location_statistics(df, ["g"], "v").groups.collect()}
+    for g, values in data.items():
+        assert out[g]["n"] == len(values) and out[g]["mean"] == pytest.approx(values.mean())
+        assert [out[g][q] for q in st.QUANTILES] == pytest.approx(list(np.percentile(values, [10, 25, 50, 75, 90])))
+
+
+def test_values_of_short_groups_move_once(spark):
+    # They moved by value to be counted and once more by range for the running sums.
+    df = spark.createDataFrame([("a", float(i % 7)) for i in range(50)], "g string, v double")
+    plan = st.location_statistics(df, ["g"], "v").groups._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "v#" in line.split("hashpartitioning")[1].split("ENSURE")[0].split("REPARTITION")[0]]
+    assert not moved
+
+
+def test_entity_statistics_need_no_join_and_no_percentile(spark, frames):
+    out = st.grouped_statistics(frames, "entity_id", {("v", "raw"): F.col("value"), ("w", "raw"): F.col("value") * 2})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "percentile" not in plan and plan.count("Exchange hashpartitioning") == 1
