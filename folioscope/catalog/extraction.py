@@ -61,7 +61,9 @@ def s2(spark, sf):
         F.col("user_id").cast("string").alias("entity_dir"), F.col("event_id").alias("frame_no"),
         "value", (F.col("event_type") == "error").alias("failed"), F.lit(1).alias("segment_id"))
      .repartition("entity_dir")
-     .write.mode("overwrite").partitionBy("entity_dir").option("header", True).csv(root))
+     # Tasks move their own directories; version 1 lets the driver move those of all entities.
+     .write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+     .partitionBy("entity_dir").option("header", True).csv(root))
     schema = T.StructType([
         T.StructField("frame_no", T.LongType()), T.StructField("value", T.DoubleType()),
         T.StructField("failed", T.BooleanType()), T.StructField("segment_id", T.IntegerType()),

@@ -38,11 +38,17 @@ def read_entities_csv(spark: SparkSession, path: str, schema: T.StructType) -> D
 def read_frame_logs(spark: SparkSession, root: str, schema: T.StructType, file_name: str = RAW_FILE) -> DataFrame:
     """All entities' logs of one kind in one scan; the entity is the directory name.
 
-    The first column is the frame number and is dropped, as is every column never used.
+    The first column is the frame number and is dropped, as is every column never used. The
+    directories are listed by tasks; a pattern of directories would be expanded one by one on the driver.
     """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    depth = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).depth()
+    parts = F.split(F.parse_url(F.col("_metadata.file_path"), F.lit("PATH")), "/")
     raw = (
         spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-        .csv(f"{root}/*/{file_name}")
+        .option("recursiveFileLookup", True).option("pathGlobFilter", file_name).csv(root)
+        .where(F.size(parts) == depth + 3)
         .select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("entity_id"))
     )
     return nan_to_null(raw.drop(schema.fields[0].name, *SKIP_COLUMNS))

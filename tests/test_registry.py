@@ -37,3 +37,19 @@ def test_csv_logs_keyed_by_directory(spark, tmp_path):
     out = tables.read_frame_logs(spark, str(tmp_path), schema)
     assert sorted((r["entity_id"], r["speed"]) for r in out.collect() if r["speed"]) == [("e1", 1.5), ("e2", 2.5)]
     assert out.where("speed IS NULL").count() == 1 and out.columns == ["speed", "entity_id"]
+
+
+def test_frame_logs_are_one_path_whatever_the_number_of_entities(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from folioscope.sources import tables
+
+    for entity in ("a", "b c", "d"):
+        (tmp_path / entity / "deeper").mkdir(parents=True)
+        (tmp_path / entity / "log.csv").write_text("frame_no,value\n1,0.5\n")
+        (tmp_path / entity / "deeper" / "log.csv").write_text("frame_no,value\n1,9.5\n")
+    (tmp_path / "log.csv").write_text("frame_no,value\n1,9.5\n")
+    schema = T.StructType([T.StructField("frame_no", T.LongType()), T.StructField("value", T.DoubleType())])
+    out = tables.read_frame_logs(spark, str(tmp_path), schema, "log.csv")
+    assert sorted(r["value"] for r in out.collect()) == [0.5] * 3
+    assert "InMemoryFileIndex(1 paths)" in out._jdf.queryExecution().executedPlan().toString()
