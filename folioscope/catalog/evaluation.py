@@ -121,6 +121,8 @@ def multi_predictions(spark, sf):
     lab = c.join(codes, F.col("c_mktsegment") == F.col("label")).select(
         F.col("c_custkey").alias("row_id"), F.col("encoded").alias("label"))
     rows = _per_model(sp.stratified_folds(lab, "row_id", "label", 5))
+    # The folds come in few small partitions; the scores below are the work.
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row_id", "model")
     raw = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: fs.hash_unit(F.col("model"), F.col("row_id"), k)
                       + F.when(k == F.col("label"), F.col("w")).otherwise(0.0))
     rows = rows.withColumn("_raw", raw).withColumn("_sum", F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x))

@@ -63,3 +63,11 @@ def test_signed_rank_is_exact_beyond_twelve_folds(spark):
         hits = sum(sum(r for r, s in zip(ranks, signs) if s) >= far for signs in itertools.product((0, 1), repeat=folds))
         got = compare.wilcoxon(compare.model_pairs(cv, "auc")).first()["p"]
         assert abs(got - min(1.0, 2 * hits / 2 ** folds)) < 1e-12
+
+
+def test_rows_are_dealt_before_they_become_one_per_class(spark):
+    rows = [(0, "m", i, i % 3, 0, 0.5, [0.2 + (i % 3 == c) / 2 for c in range(3)]) for i in range(30)]
+    pred = spark.createDataFrame(rows, "fold int, model string, row_id bigint, y_true int, y_pred int, y_prob double, probs array<double>")
+    out = metrics.auc_one_vs_rest(pred.coalesce(1), "probs", 3)
+    assert out.first()["auc_roc"] == 1.0
+    assert "REBALANCE" in out._jdf.queryExecution().executedPlan().toString()
