@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from folioscope.functions.scalars import hash_unit
 from folioscope.operators.splits import balanced_weights
+from folioscope.session import bounded_batches
 
 log = logging.getLogger(__name__)
 
@@ -191,6 +192,8 @@ def random_fourier(df: DataFrame, gamma: float, seed: int, width: int, source: s
     b = rng.uniform(0.0, 2.0 * math.pi, size=RANDOM_FEATURES)
     scale = math.sqrt(2.0 / RANDOM_FEATURES)
 
+    bounded_batches(df.sparkSession)
+
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def project(x: pd.Series) -> pd.Series:
         if len(x) == 0:

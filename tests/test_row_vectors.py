@@ -37,3 +37,16 @@ def test_time_grows_with_the_width_only(spark):
 
     narrow, wide = seconds(320), seconds(1280)
     assert wide < 8 * narrow + 1.0
+
+
+def test_random_features_hold_small_batches(spark):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from folioscope.operators import models
+
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(conf, 10000)
+    df = spark.range(5).select(array_to_vector(F.array(F.col("id").cast("double"))).alias("features"))
+    assert len(models.random_fourier(df, 0.5, 1, 1).first()["mapped"]) == models.RANDOM_FEATURES
+    assert int(spark.conf.get(conf)) <= 1000
