@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators import reduce as rd
-from folioscope.operators.neighbors import trustworthiness
+from folioscope.operators.neighbors import fuzzy_weights, knn_exact, trustworthiness
+from folioscope.session import cut_lineage, staged
 
 METHODS = ("pca", "umap")
 
@@ -47,13 +48,14 @@ def reduce_dimensions(
         planes.append(coords.select(F.lit("pca").alias("method"), "row_id", F.get("coords", F.lit(0)).alias("x"), F.get("coords", F.lit(1)).alias("y")))
     if "umap" in methods:
         pts = rows.select(F.col("row_id").alias("id"), vector_to_array("features").alias("vec"))
-        run = rd.graph_layout(pts, n_neighbors, min_dist, 2, epochs, seed)
+        near = staged(knn_exact(pts, n_neighbors), "neighbours")
+        run = rd.layout(cut_lineage(fuzzy_weights(near, n_neighbors)), 2, min_dist, epochs, seed)
         emb = run.vectors
         flat = emb.select(F.col("id").alias("row_id"), F.get("vec", F.lit(0)).alias("UMAP1"), F.get("vec", F.lit(1)).alias("UMAP2"))
         out["umap_embedding"] = with_clinical(flat, meta)
         out["umap_run"] = spark.createDataFrame(
             [(run.epochs, epochs, run.movement, run.settled)], "epochs int, epoch_limit int, movement double, settled boolean")
-        out["umap_trustworthiness"] = trustworthiness(pts, emb, n_neighbors)
+        out["umap_trustworthiness"] = trustworthiness(pts, emb, n_neighbors, original=near)
         planes.append(flat.select(F.lit("umap").alias("method"), "row_id", F.col("UMAP1").alias("x"), F.col("UMAP2").alias("y")))
     combined = planes[0] if planes else None
     for p in planes[1:]:
