@@ -36,7 +36,7 @@ import math
 import string
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,6 +57,7 @@ CLASSES = 5  # all; toxic and other of fold 0; toxic and other of fold 1
 LEARNED = (((1, 3), (2, 4)), ((3,), (4,)), ((1,), (2,)))  # toxic and other: both folds, without fold 0, without fold 1
 SIGNIFICANT = 0.05
 REMEMBERED, BEGINNINGS, FLUSH = 400_000, 150_000, 150_000
+TOGETHER = 64  # texts whose words are looked up together
 LABELLED = 200_000  # most labelled ids a fit reads
 REJECT = 0.7
 MARKS = string.punctuation + "«»“”‘’„…—–¡¿"
@@ -84,15 +85,22 @@ class Beginnings(dict):
         return h
 
 
-def feature_hashes(word: str) -> tuple[int, int, int]:
-    """Hashes of a word, its first five and its first four characters, without marks at its ends.
-    All three begin with the same 24 bits, those of the first four characters' hash."""
-    bare = word.strip(MARKS) or word
+def features_of(words: Collection[str]) -> np.ndarray:
+    """A row for each word: hashes of the word, its first five and its first four characters, without
+    marks at its ends. All three begin with the same 24 bits, those of the first four characters' hash."""
     fives, fours = kept_beside("beginnings", lambda: (Beginnings(2), Beginnings(3)))
-    four = fours[bare[:4]]
-    top, rest = four >> OWN_BITS << OWN_BITS, (1 << OWN_BITS) - 1
-    whole = xxhash.xxh64_intdigest(bare.encode("utf-8", "surrogatepass"), 1)
-    return top | whole & rest, top | fives[bare[:5]] & rest, four
+    digest, n = xxhash.xxh64_intdigest, len(words)
+    bare = [w.strip(MARKS) or w for w in words]
+    whole = np.fromiter((digest(b.encode("utf-8", "surrogatepass"), 1) for b in bare), np.uint64, n)
+    five = np.fromiter((fives[b[:5]] for b in bare), np.uint64, n)
+    four = np.fromiter((fours[b[:4]] for b in bare), np.uint64, n)
+    rest = np.uint64((1 << OWN_BITS) - 1)
+    top = four & ~rest
+    return np.stack([top | whole & rest, top | five & rest, four], axis=1)
+
+
+def feature_hashes(word: str) -> tuple[int, int, int]:
+    return tuple(features_of([word])[0].tolist())
 
 
 class Numbers(dict):
@@ -165,32 +173,40 @@ def counted_features(rows: DataFrame, wanted: Broadcast | None = None) -> DataFr
         counts = [np.zeros(0)] * CLASSES
 
         def settled() -> Iterator[pa.RecordBatch]:
-            hashes = np.array([feature_hashes(w) for w in numbers], np.uint64).reshape(-1, 3).view(np.int64)
+            hashes = features_of(numbers).view(np.int64)
             for k in range(CLASSES):
                 some = np.flatnonzero(counts[k])
                 if len(some):
-                    features, back = np.unique(hashes[some].ravel(), return_inverse=True)
-                    sums = np.bincount(back, np.repeat(counts[k][some], 3))
+                    features, shared = hashes[some].ravel(), np.repeat(counts[k][some], 3)
                     if wanted is not None:
-                        total, held = sums.sum(), np.isin(features, wanted.value, assume_unique=True)
-                        features, sums = features[held], sums[held]
+                        total, known = shared.sum(), wanted.value
+                        at = np.searchsorted(known, features)
+                        held = np.flatnonzero(np.append(known, 0)[at] == features)
+                        held = held[at[held] < len(known)]
+                        sums = np.bincount(at[held], shared[held], len(known)).astype(float)
+                        held = np.flatnonzero(sums)
+                        features, sums = known[held], sums[held]
                         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([k], pa.int32()), pa.array([total])], ["feature", "kind", "votes"])
+                    else:
+                        features, back = np.unique(features, return_inverse=True)
+                        sums = np.bincount(back, shared)
                     yield pa.RecordBatch.from_arrays([pa.array(features), pa.array(np.full(len(features), k, np.int32)), pa.array(sums)], ["feature", "kind", "votes"])
             numbers.clear()
 
         for batch in sliced(batches):
-            seen: list[list[int]] = [[] for _ in range(CLASSES)]
+            seen: list[list[np.ndarray]] = [[] for _ in range(CLASSES)]
             shares: list[list[float]] = [[] for _ in range(CLASSES)]
             for text, kind, vote in zip(*(batch.column(c).to_pylist() for c in ("text", "kind", "vote"))):
                 if text:
-                    ids = [numbers[w] for w in set(text.lower().split())]
-                    seen[kind] += ids
-                    shares[kind] += [vote] * len(ids)
+                    words = set(text.lower().split())
+                    seen[kind].append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+                    shares[kind].append(vote)
             for k in range(CLASSES):
                 if len(counts[k]) < len(numbers):
                     counts[k] = np.pad(counts[k], (0, len(numbers) - len(counts[k])))
                 if seen[k]:
-                    counts[k] += np.bincount(np.array(seen[k], np.int64), np.array(shares[k]), len(counts[k]))
+                    votes_of = np.repeat(np.array(shares[k]), [len(ids) for ids in seen[k]])
+                    counts[k] += np.bincount(np.concatenate(seen[k]), votes_of, len(counts[k]))
             if len(numbers) > FLUSH:
                 yield from settled()
                 counts = [np.zeros(0)] * CLASSES
@@ -248,7 +264,7 @@ class WordScores(dict):
 
     def settle(self) -> None:
         """Scores of the fresh words: the weight of the most special known feature."""
-        hashes = np.array([feature_hashes(w) for w in self.fresh], np.uint64).view(np.int64)
+        hashes = features_of(self.fresh).view(np.int64)
         at = np.minimum(np.searchsorted(self.features, hashes), max(0, len(self.features) - 1))
         hit = self.features[at] == hashes if len(self.features) else np.zeros(hashes.shape, bool)
         for weights, scores in zip(self.weights, self.scores):
@@ -260,13 +276,18 @@ class WordScores(dict):
 
     def of(self, words: list[str], *kinds: int) -> list[np.ndarray]:
         """Scores of the words of a text, wherever they stand, by some of the weights."""
+        return [self.of_texts([words], [k])[0] for k in kinds]
+
+    def of_texts(self, texts: list[list[str]], kinds: list[int]) -> list[np.ndarray]:
+        """Scores of the words of each text by the weights chosen for it; the fresh words of all
+        texts are looked up together."""
         if len(self) > REMEMBERED:
             self.clear()
             self.scores = [array("f") for _ in self.weights]
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        ids = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in texts]
         if self.fresh:
             self.settle()
-        return [np.frombuffer(self.scores[k], np.float32)[ids].astype(np.float64) if len(ids) else np.zeros(0) for k in kinds]
+        return [np.frombuffer(self.scores[k], np.float32)[i].astype(np.float64) if len(i) else np.zeros(0) for i, k in zip(ids, kinds)]
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
@@ -333,12 +354,11 @@ def cross_segments(known_texts: DataFrame, words_known: Broadcast) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = scores_of(words_known)
-        for batch in sliced(batches):
-            sizes, scores = [], []
-            for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist()):
-                words = (text or "").lower().split()
-                sizes.append(len(words))
-                scores.append([s for s, _, _ in maximal_segments(weights.of(words, 1 + part)[0])])
+        for batch in sliced(batches, TOGETHER):
+            words = [(text or "").lower().split() for text in batch.column("text").to_pylist()]
+            sizes = list(map(len, words))
+            found = weights.of_texts(words, [1 + part for part in batch.column("part").to_pylist()])
+            scores = [[s for s, _, _ in maximal_segments(f)] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(sizes, pa.int64()), pa.array(scores, pa.list_(pa.float64()))], ["toxic", "n", "scores"])
 
     kind = known_texts.schema["toxic"].dataType.simpleString()
@@ -413,9 +433,9 @@ def probability(model: ToxicityModel) -> Column:
     @F.arrow_udf("double")
     def evidence(texts: pa.Array) -> pa.Array:
         weights, out = model.weights(), []
-        for text in texts_of(texts):
-            words = (text or "").lower().split()
-            out.append(model.evidence(len(words), maximal_segments(weights.of(words, 0)[0])))
+        for start in range(0, len(texts), TOGETHER):
+            words = [(text or "").lower().split() for text in texts.slice(start, TOGETHER).to_pylist()]
+            out += [model.evidence(len(f), maximal_segments(f)) for f in weights.of_texts(words, [0] * len(words))]
         return pa.array(out, pa.float64())
 
     return 1 / (1 + F.exp(-(squashed(evidence("text")) * model.slope + model.offset)))
