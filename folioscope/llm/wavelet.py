@@ -32,7 +32,7 @@ from folioscope.session import scratch_path
 END_ID = 0
 SHARD_TOKENS = 1 << 21
 BLOCK = 512
-REMEMBERED = 700_000
+REMEMBERED, MARKED, MET = 300_000, 100_000, 1 << 22
 MARKS = string.punctuation
 
 
@@ -53,7 +53,9 @@ class WordEncoder(dict):
     straight to the library's model; a part of lines of letters with marks behind them falls
     into its words; all other parts, and texts with an added token,
     take the library's whole way. As a dictionary it holds the ids of parts by what follows their
-    blank, `parts` holds those of other parts; the Python worker keeps `REMEMBERED` of each."""
+    blank, `parts` holds those of other parts; the Python worker keeps `REMEMBERED` of each.
+    Words are kept when met again (`met` marks them by hash), as most are rare. Those with marks are
+    put together from both, so only `MARKED` of them are kept beside the words."""
 
     CUT = re.compile(r"(?= \S)")
     LOOSE = re.compile(r" (?:\s|\Z)")
@@ -68,13 +70,25 @@ class WordEncoder(dict):
         self.bytes = _byte_characters()
         self.codes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.parts: dict[str, bytes] = {}
+        self.marked, self.met = 0, bytearray(MET)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, bare: str) -> bytes:
-        ids = self.fresh(" " + bare)
-        if len(self) < REMEMBERED:
+        letters = bare.isalpha()
+        if letters:
+            ids = self.word(" " + bare)
+        else:
+            body = bare.rstrip(MARKS)
+            ids = self[body] + self.part(bare[len(body):]) if body.isalpha() else self.fresh(" " + bare)
+        at = hash(bare) % MET
+        if not self.met[at]:
+            self.met[at] = 1
+        elif letters and len(self) - self.marked < REMEMBERED:
+            self[bare] = ids
+        elif not letters and self.marked < MARKED:
+            self.marked += 1
             self[bare] = ids
         return ids
 
@@ -138,13 +152,14 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if width <= 16 else np.uint32)
         planes, zeros, ranks = [], [], []
         for bit in range(width - 1, -1, -1):
-            ones = (now & now.dtype.type(1 << bit)).astype(bool)
+            ones = (now & now.dtype.type(1 << bit)) != 0
             packed = np.packbits(ones)
             blocks = np.bitwise_count(np.pad(packed, (0, -len(packed) % (BLOCK // 8))).view("<u8")).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32)
             planes.append(packed.tobytes())
             zeros.append(int(len(ones) - blocks.sum()))
             ranks.append(np.concatenate([[0], np.cumsum(blocks)]).astype("<u4").tobytes())
-            now = np.concatenate([now[~ones], now[ones]])
+            if bit:
+                now = np.concatenate([now[~ones], now[ones]])
         return planes, zeros, ranks
 
     def _bits(self, plane: int, start: int, stop: int) -> np.ndarray:

@@ -343,3 +343,32 @@ def test_common_words_do_not_hide_a_rare_toxic_one(spark):
     row = toxicity.feature_counts(df, known).where(f"feature = {word}").first()
     assert row["c0"] == 30 and row["c1"] + row["c3"] == pytest.approx(sum(v for d, (t, v) in votes.items() if d % 30 == 0))
     assert row["c2"] == row["c4"] == 0
+
+
+def test_words_of_several_texts_are_looked_up_together():
+    weights = np.array([[2.0, -0.5], [np.nan, 1.0], [0.5, np.nan]], np.float32)
+    known = sorted((int(np.uint64(toxicity.feature_hashes(w)[0]).view(np.int64)), k) for k, w in enumerate(("grumlo", "snarkel")))
+    table = np.array([h for h, _ in known], np.int64), weights[:, [k for _, k in known]]
+    rows = [["grumlo,", "and", "snarkel"], [], ["snarkel", "grumlo"]]
+    one, more = toxicity.WordScores(*table), toxicity.WordScores(*table)
+    settled = []
+    more.settle = lambda: (settled.append(len(more.fresh)), toxicity.WordScores.settle(more))
+    for k in range(3):
+        for words, found in zip(rows, more.of_texts(rows, [k] * 3)):
+            assert found.tolist() == one.of(words, k)[0].tolist() and len(found) == len(words)
+    assert settled == [4]  # once for all three texts
+    for w in ("grumlo", "«snarkel»", "--", "ÀÉ"):
+        assert tuple(toxicity.features_of([w])[0].tolist()) == toxicity.feature_hashes(w)
+
+
+def test_kept_words_are_bounded(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(wavelet, "REMEMBERED", 40)
+    monkeypatch.setattr(wavelet, "MARKED", 10)
+    encoder = wavelet.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for d in range(30):
+        text = " ".join(f"{w}{'.,;!?'[i % 5]}" if i % 2 else w for i, w in enumerate(prose(d, 60).split())) + " é… a.b 12, tail"
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    # Words with marks fell into the words kept before, and took their places.
+    assert len(encoder) <= 50 and encoder.marked == 10 and len(encoder.parts) <= 40
