@@ -29,6 +29,7 @@ BLOCK_ROWS = 1024
 BLOCKS, LARGEST = 24, 65_536
 STRIP, HITS = 2_000_000, 20_000
 MAX_PIVOTS = 512
+TASKS = 128
 SMOTE_NEIGHBOURS = 5
 
 
@@ -227,6 +228,18 @@ def _other_side(held: DataFrame, pairs: DataFrame, *more: Column) -> DataFrame:
         F.col("id").alias("other"), F.col("vec").alias("other_vec"), *more)
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to TASKS tasks by blocks: work follows the square of a block's rows, but adaptive
+    execution joins tasks by bytes, and short vectors all met in a few."""
+    return rows.repartition(TASKS, *keys)
+
+
+def _met(a: DataFrame, b: DataFrame, compare, schema: str) -> DataFrame:
+    """`compare` of the rows of each block pair (block_a, block_b), (to_a, to_b)."""
+    left, right = _dealt(a, "block_a", "block_b"), _dealt(b, "to_a", "to_b")
+    return left.groupBy("block_a", "block_b").cogroup(right.groupBy("to_a", "to_b")).applyInPandas(compare, schema)
+
+
 def knn_exact(points: DataFrame, k: int, group: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, nn_id, distance, rank): exact k nearest neighbours, ties by id.
 
@@ -242,7 +255,7 @@ def knn_exact(points: DataFrame, k: int, group: str | None = None, block_rows: i
 
     kind = id_type(points)
     schema = f"id {kind}, nn_id {kind}, distance double"
-    first = staged(held.groupBy("block").applyInPandas(own, schema), "own-block")
+    first = staged(_dealt(held, "block").groupBy("block").applyInPandas(own, schema), "own-block")
     # Distance to the k-th neighbour inside the own block bounds the search outside it.
     bound = first.groupBy("id").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("bound"))
@@ -259,7 +272,7 @@ def knn_exact(points: DataFrame, k: int, group: str | None = None, block_rows: i
 
     a = bounded.withColumnRenamed("block", "block_a").join(pairs, "block_a").select("block_a", "block_b", "id", "vec", "bound")
     b = _other_side(bounded, pairs, F.col("bound").alias("other_bound"))
-    others = a.groupBy("block_a", "block_b").cogroup(b.groupBy("to_a", "to_b")).applyInPandas(across, schema)
+    others = _met(a, b, across, schema)
     nearest = Window.partitionBy("id").orderBy("distance", "nn_id")
     return first.unionByName(others).withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
@@ -300,7 +313,7 @@ def knn_approximate(
         x, ids, at = _matrix(pdf["vec"]), pdf["id"].to_numpy(), _matrix(pdf["marks"])
         return _nearest(x, ids, np.full(len(x), float(radius)), x, ids, k, None, earlier(int(pdf["t"].iloc[0]), at, at))
 
-    first = staged(held.groupBy("block").applyInPandas(own, schema), "own-block")
+    first = staged(_dealt(held, "block").groupBy("block").applyInPandas(own, schema), "own-block")
     bound = first.groupBy("id").agg(F.get(F.array_sort(F.collect_list("distance")), F.lit(k - 1)).alias("bound"))
     bounded = held.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float(radius))))
     blocks = held.select("bucket", "block").distinct()
@@ -318,7 +331,7 @@ def knn_approximate(
     a = bounded.withColumnRenamed("block", "block_a").join(pairs, "block_a").select(
         "block_a", "block_b", "t", "id", "vec", "marks", "bound")
     b = _other_side(bounded, pairs, F.col("bound").alias("other_bound"), F.col("marks").alias("other_marks"))
-    others = a.groupBy("block_a", "block_b").cogroup(b.groupBy("to_a", "to_b")).applyInPandas(across, schema)
+    others = _met(a, b, across, schema)
     nearest = Window.partitionBy("id").orderBy("distance", "nn_id")
     return first.unionByName(others).where(F.col("distance") < radius).withColumn(
         "rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
@@ -466,8 +479,7 @@ def trustworthiness(
 
     a = packed.withColumnRenamed("block", "block_a").join(pairs, "block_a").select("block_a", "block_b", "id", "vec", "nn", "gaps")
     b = _other_side(held, pairs)
-    counted = a.groupBy("block_a", "block_b").cogroup(b.groupBy("to_a", "to_b")).applyInPandas(
-        closer, f"id {kind}, nn_id {kind}, closer bigint")
+    counted = _met(a, b, closer, f"id {kind}, nn_id {kind}, closer bigint")
     ranks = counted.groupBy("id", "nn_id").agg((F.sum("closer") + 1).alias("r"))
     penalty = ranks.agg(F.coalesce(F.sum(F.greatest(F.col("r") - k, F.lit(0))), F.lit(0)).alias("s"))
     norm = 2.0 / (n_rows * k * (2.0 * n_rows - 3 * k - 1))

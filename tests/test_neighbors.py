@@ -117,3 +117,20 @@ def test_approximate_equals_the_projection_join(cloud, spark):
     out = nb.knn_approximate(df, 4, 0.6, tables=3, bucket=0.7, block_rows=16)
     assert "BroadcastNestedLoop" not in out._jdf.queryExecution().toString()
     assert {(r["id"], r["nn_id"]): r["rank"] for r in out.collect()} == want
+
+
+def test_short_vectors_do_not_meet_in_one_task(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(4000, 2)))], "id bigint, vec array<double>")
+    out = nb.knn_exact(df, 3, block_rows=16).select("id", "nn_id")
+    assert out.count() == 3 * 4000
+    a = spark.range(24).select(F.col("id").alias("block_a"), F.col("id").alias("block_b"))
+    b = a.select(F.col("block_a").alias("to_a"), F.col("block_b").alias("to_b"))
+
+    def task(left, right):
+        from pyspark import TaskContext
+        import pandas as pd
+        return pd.DataFrame({"part": [TaskContext.get().partitionId()]})
+
+    # Adaptive execution joined these few bytes into one task.
+    assert len({r["part"] for r in nb._met(a, b, task, "part int").collect()}) > 12
