@@ -2,8 +2,8 @@
 
 The exact search never forms all pairs of rows as rows. Points are assigned to the nearest of
 a few pivots and cut into blocks; an unordered block pair is compared once, inside one task, and
-only the k best per row leave it. A matrix product gives all squared distances up to a known
-rounding error; those that may be among the k best are made again by plain differences. Block
+only the k best per row leave it. A matrix product in single precision gives all squared distances
+up to a known rounding error; those that may be among the k best are made again by plain differences. Block
 pairs that the triangle inequality rules out are not compared, and a cell holding very many
 points is simply cut into more blocks. Up to `BLOCKS` x `LARGEST` rows the number of blocks is
 bounded, so a row is sent to a bounded number of tasks.
@@ -27,7 +27,7 @@ from folioscope.session import staged
 # squared distances and HITS differences at once.
 BLOCK_ROWS = 1024
 BLOCKS, LARGEST = 24, 65_536
-STRIP, HITS = 2_000_000, 20_000
+STRIP, HITS = 2_000_000, 2_000
 MAX_PIVOTS = 512
 TASKS = 128
 SMOTE_NEIGHBOURS = 5
@@ -37,6 +37,16 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array([np.asarray(v, dtype=float) for v in column])
 
 
+def _packed(x: np.ndarray) -> list[bytes]:
+    """One value per row: doubles that Spark moves without looking at them."""
+    raw, size = np.ascontiguousarray(x, float).tobytes(), 8 * x.shape[1]
+    return [raw[size * i:size * (i + 1)] for i in range(len(x))]
+
+
+def _unpacked(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column)).reshape(len(column), len(column.iloc[0]) // 8)
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances by plain differences, so equal points are exactly at 0."""
     out = np.empty((len(a), len(b)))
@@ -59,12 +69,17 @@ def _usable(x: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.isfinite((x * x).sum(axis=1)))
 
 
-def _factors(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Two matrices whose product holds all squared distances, and a bound of its rounding error."""
+def _factors(x: np.ndarray, y: np.ndarray, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, float]:
+    """Two matrices whose product holds all squared distances, and a bound of its rounding error.
+    Single precision is left where squares could leave its range."""
     a, b = x - y.mean(axis=0), y - y.mean(axis=0)
     aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
-    slack = 16 * (x.shape[1] + 4) * np.finfo(float).eps * float(aa.max() + bb.max())
-    return np.column_stack([a, aa, np.ones(len(a))]), np.column_stack([-2 * b, np.ones(len(b)), bb]).T, slack
+    size = float(aa.max() + bb.max())
+    if not 1e-20 < size < 1e30:
+        kind = np.float64
+    slack = 16 * (x.shape[1] + 4) * float(np.finfo(kind).eps) * size
+    left, right = np.column_stack([a, aa, np.ones(len(a))]), np.column_stack([-2 * b, np.ones(len(b)), bb]).T
+    return left.astype(kind, copy=False), right.astype(kind, copy=False), slack
 
 
 def _exact(x: np.ndarray, y: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -78,27 +93,43 @@ def _exact(x: np.ndarray, y: np.ndarray, rows: np.ndarray, cols: np.ndarray) ->
 
 def _first(owner: np.ndarray, dist: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k first pairs of every owner by distance, ties by order."""
+    if not len(owner) or np.bincount(owner).max() <= k:
+        return np.arange(len(owner))
     at = np.lexsort((order, dist, owner))
     own = owner[at]
-    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
+    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     place = np.arange(len(own)) - np.repeat(starts, np.diff(np.append(starts, len(own))))
     return at[place < k]
 
 
+def _limits(squares: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """The next larger numbers of the squares' precision; infinity is beyond all of them."""
+    top = np.finfo(squares.dtype).max
+    return np.minimum(np.nextafter(np.minimum(bound, top).astype(squares.dtype), squares.dtype.type(np.inf)), top)
+
+
 def _hits(squares: np.ndarray, bound: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of all squares that may be among the k best of their row and within its
     bound. Rows with many are held to their k-th square; pairs that don't count are at infinity."""
-    limit = np.minimum(bound * bound * (1 + 1e-15) + slack, np.finfo(float).max)
+    def kth(rows: np.ndarray) -> np.ndarray:
+        return _limits(squares, np.partition(squares[rows], k - 1, axis=1)[:, k - 1].astype(float) + 2 * slack)
+
+    with np.errstate(over="ignore"):
+        limit = _limits(squares, bound * bound * (1 + 1e-15) + slack)
+    free = np.flatnonzero(limit == np.finfo(squares.dtype).max) if squares.shape[1] > 4 * k else []
+    if len(free):
+        limit[free] = kth(free)
     hits = squares <= limit[:, None]
-    many = np.flatnonzero(np.count_nonzero(hits, axis=1) > 4 * k)
-    if len(many):
-        some = squares[many]
-        hits[many] = some <= np.minimum(limit[many], np.partition(some, k - 1, axis=1)[:, k - 1] + 2 * slack)[:, None]
     if hits.flags.c_contiguous:
-        at = np.flatnonzero(hits)
-        return at // hits.shape[1], at % hits.shape[1]
-    at = np.flatnonzero(hits.T)
-    return at % hits.shape[0], at // hits.shape[0]
+        rows, cols = np.divmod(np.flatnonzero(hits), hits.shape[1])
+    else:
+        cols, rows = np.divmod(np.flatnonzero(hits.T), hits.shape[0])
+    many = np.flatnonzero(np.bincount(rows, minlength=len(limit)) > 4 * k)
+    if len(many):
+        limit[many] = np.minimum(limit[many], kth(many))
+        keep = squares[rows, cols] <= limit[rows]
+        rows, cols = rows[keep], cols[keep]
+    return rows, cols
 
 
 def _nearest(
@@ -115,7 +146,7 @@ def _nearest(
         return pd.DataFrame({"id": ids_x[:0], "nn_id": ids_y[:0], "distance": np.zeros(0)})
     x, ids_x, bound_x, y, ids_y = x[use_x], ids_x[use_x], bound_x[use_x], y[use_y], ids_y[use_y]
     code_x, code_y, missing = _ordered(ids_x, ids_y)
-    left, right, slack = _factors(x, y)
+    left, right, slack = _factors(x, y, np.float32)
     same, after = np.searchsorted(code_y, code_x, "left"), np.searchsorted(code_y, code_x, "right")
     after = np.where(code_x == missing, same, after)
     step = max(1, STRIP // len(y))
@@ -158,8 +189,8 @@ def rows_of_block(n: int, least: int = BLOCK_ROWS) -> int:
 
 
 class BlockedPoints:
-    """Points (id, vec) cut into blocks: `rows` (block, cell, id, vec, grp) and one row of
-    `blocks` per block with its pivot cell and radius."""
+    """Points (id, vec) cut into blocks: `rows` (block, cell, id, vec, grp), vectors packed, and one
+    row of `blocks` per block with its pivot cell and radius."""
 
     def __init__(self, points: DataFrame, block_rows: int = BLOCK_ROWS):
         n = points.count()
@@ -175,12 +206,13 @@ class BlockedPoints:
             for pdf in batches:
                 if len(pdf) == 0:
                     continue
-                d = _distances(_matrix(pdf["vec"]), pivots)
+                x = _matrix(pdf["vec"])
+                d = _distances(x, pivots)
                 cell = d.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype("int32"), to_pivot=d[np.arange(len(d)), cell])
+                yield pdf.assign(vec=_packed(x), cell=cell.astype("int32"), to_pivot=d[np.arange(len(d)), cell])
 
         typed = points.select("id", "grp", F.col("vec").cast("array<double>").alias("vec"))
-        schema = f"id {id_type(points)}, grp string, vec array<double>, cell int, to_pivot double"
+        schema = f"id {id_type(points)}, grp string, vec binary, cell int, to_pivot double"
         located = staged(typed.mapInPandas(assign, schema), "located")
         sizes = located.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("_n"))
         parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / block_rows))
@@ -250,7 +282,7 @@ def knn_exact(points: DataFrame, k: int, group: str | None = None, block_rows: i
     held = blocked.rows.select("block", "id", "vec")
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids = _matrix(pdf["vec"]), pdf["id"].to_numpy()
+        x, ids = _unpacked(pdf["vec"]), pdf["id"].to_numpy()
         return _nearest(x, ids, np.full(len(x), np.inf), x, ids, k)
 
     kind = id_type(points)
@@ -267,8 +299,8 @@ def knn_exact(points: DataFrame, k: int, group: str | None = None, block_rows: i
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"id": [], "nn_id": [], "distance": []}, dtype=object)
         return _nearest(
-            _matrix(left["vec"]), left["id"].to_numpy(), left["bound"].to_numpy(),
-            _matrix(right["other_vec"]), right["other"].to_numpy(), k, right["other_bound"].to_numpy())
+            _unpacked(left["vec"]), left["id"].to_numpy(), left["bound"].to_numpy(),
+            _unpacked(right["other_vec"]), right["other"].to_numpy(), k, right["other_bound"].to_numpy())
 
     a = bounded.withColumnRenamed("block", "block_a").join(pairs, "block_a").select("block_a", "block_b", "id", "vec", "bound")
     b = _other_side(bounded, pairs, F.col("bound").alias("other_bound"))
@@ -460,7 +492,7 @@ def trustworthiness(
         for pdf in batches:
             if len(pdf):
                 at = np.arange(len(pdf))
-                gap = _exact(_matrix(pdf["vec"]), _matrix(pdf["end"]), at, at)
+                gap = _exact(_unpacked(pdf["vec"]), _unpacked(pdf["end"]), at, at)
                 yield pdf[["block", "id", "nn_id"]].assign(gap=gap)
 
     asked = staged(held.join(wrong, "id").join(ends, "nn_id").select("block", "id", "nn_id", "vec", "end").mapInPandas(
@@ -474,8 +506,8 @@ def trustworthiness(
     def closer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"id": [], "nn_id": [], "closer": []}, dtype=object)
-        return _closer(_matrix(left["vec"]), left["id"].to_numpy(), left["nn"].tolist(), left["gaps"].tolist(),
-                       _matrix(right["other_vec"]), right["other"].to_numpy())
+        return _closer(_unpacked(left["vec"]), left["id"].to_numpy(), left["nn"].tolist(), left["gaps"].tolist(),
+                       _unpacked(right["other_vec"]), right["other"].to_numpy())
 
     a = packed.withColumnRenamed("block", "block_a").join(pairs, "block_a").select("block_a", "block_b", "id", "vec", "nn", "gaps")
     b = _other_side(held, pairs)

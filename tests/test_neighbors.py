@@ -134,3 +134,27 @@ def test_short_vectors_do_not_meet_in_one_task(spark):
 
     # Adaptive execution joined these few bytes into one task.
     assert len({r["part"] for r in nb._met(a, b, task, "part int").collect()}) > 12
+
+
+def test_screening_in_single_precision_loses_nothing():
+    rng = np.random.default_rng(3)
+    for scale, kind in ((1.0, np.float32), (1e-15, np.float64), (1e20, np.float64)):
+        x = np.round(rng.normal(size=(300, 6)), 2) * scale
+        y = np.concatenate([x[:40], np.round(rng.normal(size=(360, 6)), 2) * scale, x[:40]])
+        left, right, slack = nb._factors(x, y, np.float32)
+        squares, gaps = left @ right, nb._distances(x, y)
+        assert squares.dtype == kind
+        assert (np.abs(squares - gaps * gaps) <= slack).all()
+        others = np.arange(440) + 1000
+        got = nb._nearest(x, np.arange(300), np.full(300, np.inf), y, others, 7)
+        wanted = {(i, others[j]) for i in range(300) for j in np.lexsort((others, gaps[i]))[:7]}
+        assert set(zip(got["id"], got["nn_id"])) == wanted
+
+
+def test_vectors_are_moved_packed(spark):
+    x = np.random.default_rng(4).normal(size=(50, 3))
+    points = spark.createDataFrame([(i, [float(a) for a in v], "") for i, v in enumerate(x)], "id long, vec array<double>, grp string")
+    rows = nb.BlockedPoints(points, 16).rows
+    assert rows.schema["vec"].dataType.simpleString() == "binary"
+    kept = rows.select("id", "vec").toPandas()
+    assert np.array_equal(nb._unpacked(kept["vec"]), x[kept["id"]])
