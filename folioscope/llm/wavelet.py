@@ -33,6 +33,7 @@ END_ID = 0
 SHARD_TOKENS = 1 << 21
 BLOCK = 512
 REMEMBERED, MARKED, MET = 300_000, 100_000, 1 << 22
+PIECE = 1 << 16
 MARKS = string.punctuation
 
 
@@ -139,6 +140,14 @@ class WordEncoder(dict):
         return self.part(head) + b"".join(map(self.__getitem__, rest))
 
 
+def _parted(ones: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Places of the zeros and of the ones of each piece. By places and in pieces that a core's
+    cache holds: masks take twice the time where bits are mixed."""
+    for start in range(0, len(ones), PIECE):
+        piece = ones[start:start + PIECE]
+        yield slice(start, start + len(piece)), np.flatnonzero(~piece), np.flatnonzero(piece)
+
+
 class WaveletMatrix:
     """Bit planes over a sequence of ids below 2 ** len(planes)."""
 
@@ -159,7 +168,11 @@ class WaveletMatrix:
             zeros.append(int(len(ones) - blocks.sum()))
             ranks.append(np.concatenate([[0], np.cumsum(blocks)]).astype("<u4").tobytes())
             if bit:
-                now = np.concatenate([now[~ones], now[ones]])
+                low, high, after = 0, zeros[-1], np.empty_like(now)
+                for at, down, up in _parted(ones):
+                    after[low:low + len(down)], after[high:high + len(up)] = now[at].take(down), now[at].take(up)
+                    low, high = low + len(down), high + len(up)
+                now = after
         return planes, zeros, ranks
 
     def _bits(self, plane: int, start: int, stop: int) -> np.ndarray:
@@ -217,11 +230,14 @@ class WaveletMatrix:
         """The whole sequence, planes undone from the last."""
         low = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for k in range(len(self.planes) - 1, -1, -1):
-            ones = self._bits(k, 0, self.n).astype(bool)
-            up = np.empty_like(low)
-            up[~ones] = low[:self.zeros[k]]
-            up[ones] = low[self.zeros[k]:] | low.dtype.type(1 << (len(self.planes) - 1 - k))
-            low = up
+            ones = self._bits(k, 0, self.n).view(bool)
+            bit = low.dtype.type(1 << (len(self.planes) - 1 - k))
+            a, b, before = 0, self.zeros[k], np.empty_like(low)
+            for at, down, up in _parted(ones):
+                piece = before[at]
+                piece[down], piece[up] = low[a:a + len(down)], low[b:b + len(up)] | bit
+                a, b = a + len(down), b + len(up)
+            low = before
         return low
 
 

@@ -372,3 +372,13 @@ def test_kept_words_are_bounded(monkeypatch):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
     # Words with marks fell into the words kept before, and took their places.
     assert len(encoder) <= 50 and encoder.marked == 10 and len(encoder.parts) <= 40
+
+
+def test_planes_are_parted_in_pieces(monkeypatch):
+    ids = np.random.default_rng(6).integers(0, 50_000, 5000)
+    whole = wavelet.WaveletMatrix.build(ids)
+    monkeypatch.setattr(wavelet, "PIECE", 512)
+    sizes = [len(down) + len(up) for _, down, up in wavelet._parted(np.arange(1100) % 3 == 0)]
+    assert sizes == [512, 512, 76]
+    assert wavelet.WaveletMatrix.build(ids) == whole
+    assert np.array_equal(wavelet.WaveletMatrix(len(ids), *whole).ids(), ids)
