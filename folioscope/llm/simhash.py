@@ -16,7 +16,8 @@ which is linear in the cell.
 
 Equal fingerprints are one node, so copies are never paired. Components come from alternating
 large-star and small-star steps, each written to the shared folder. Tables that grow with the
-documents are joined by merging: what is broadcast is gathered by the driver first.
+documents are joined by merging: what is broadcast is gathered by the driver first, and Spark takes
+the 35 cells of a fingerprint for one when it sizes a table.
 
 Cases: null and empty texts have fingerprint 0 and are linked like any other; texts are read
 whole; equal rows and repeated doc_ids are rows of their own with one component; null doc_ids
@@ -140,7 +141,7 @@ def links(nodes: DataFrame, hot_cell: int = HOT_CELL) -> DataFrame:
         & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MAX_BITS)
         & (_lowest_equal(F.col("a.e"), F.col("b.e")) == F.col("a.triple"))
     )
-    pairs = a.join(b, near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    pairs = a.join(b.hint("merge"), near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     if not crowded:
         return pairs
     members = cells.join(hot, ["triple", "cell"], "left_semi").select("fp").distinct()
@@ -203,7 +204,8 @@ def near_distinct(documents: DataFrame) -> DataFrame:
     more = ids.where("rows > 1").select(F.col("_keep_id").alias("_many_id"))
     if more.isEmpty():
         return single
-    repeated = marked.join(counts.join(more, F.col("_keep_id").eqNullSafe(F.col("_many_id")), "left_semi"), same, "left_semi")
+    several = counts.join(more.hint("merge"), F.col("_keep_id").eqNullSafe(F.col("_many_id")), "left_semi")
+    repeated = marked.join(several.hint("merge"), same, "left_semi")
     return single.unionByName(repeated.dropDuplicates(["doc_id", "_fp"]).drop("_fp"))
 
 

@@ -41,6 +41,17 @@ def test_growing_tables_are_not_broadcast(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_cells_of_fingerprints_are_not_broadcast(spark):
+    from folioscope.llm import simhash
+
+    nodes = spark.createDataFrame([(7 + (i << 40),) for i in range(60)], "fp long")
+    assert "Broadcast" not in simhash.links(nodes)._jdf.queryExecution().executedPlan().toString()
+    docs = spark.createDataFrame([(i % 5, f"some words of the text {i} " * 9) for i in range(10)], "doc_id long, text string")
+    kept = simhash.near_distinct(docs)  # ids are met twice
+    assert kept.count() == len(kept.select("doc_id", "text").distinct().collect())
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fingerprints_release_earlier_caches():
     from folioscope.llm import common, simhash, toxicity
 
