@@ -43,6 +43,8 @@ SPAN = max(map(len, ALL_MASKS))
 
 WORDS = re.compile(r"\w+")
 REMEMBERED = 200_000
+#: Keys of a benchmark that may be sent to every task; it has fewer words than twice as many.
+SENT_KEYS = 100_000
 
 
 class WordHashes(dict):
@@ -226,10 +228,13 @@ def matches(documents: DataFrame, items: DataFrame) -> DataFrame:
     used = [ALL_MASKS.index(m) for k, (_, _, masks) in enumerate(MASKS) if sizes[k] for m in masks] or [0]
     places = staged(seed_hits(documents, bloom(keys, bits), bits, used), "seed-hits")
     hits = places.select("place", F.explode("hits").alias("x")).select("place", "x.offset", "x.key")
-    found = hits.join(keys.withColumnRenamed("place", "spot"), "key").select(
+    # What follows from the documents is never broadcast: Spark sizes exploded rows as one a list.
+    side = "broadcast" if n <= SENT_KEYS else "merge"
+    found = hits.join(keys.withColumnRenamed("place", "spot").hint(side), "key").select(
         "place", "item", (F.col("offset") - F.col("spot")).alias("diagonal")).distinct()
-    whole = found.join(places.select("place", "doc_id", "mark", "start", "words"), "place").join(
-        words.select("item", "item_id", F.col("words").alias("item_words")), "item")
+    around = places.select("place", "doc_id", "mark", "start", "words").hint("merge")
+    whole = found.join(around, "place").join(
+        words.where(F.size("words") >= SHORTEST).select("item", "item_id", F.col("words").alias("item_words")).hint(side), "item")
     doc_kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((documents, "doc_id"), (items, "item_id")))
     rows = whole.select("doc_id", "mark", "item_id", "start", "diagonal", "words", "item_words").mapInArrow(
         _verified, f"doc_id {doc_kind}, mark long, item_id {item_kind}, matched long, item_words long, word_start long, word_end long")

@@ -52,6 +52,24 @@ def test_cells_of_fingerprints_are_not_broadcast(spark):
     assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
 
 
+def test_places_of_documents_are_not_broadcast(spark, monkeypatch):
+    from folioscope.llm import decontam
+
+    passage = " ".join(f"word{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, f"begin {i} {passage} end" if i % 2 else f"other text {i}") for i in range(8)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", passage), ("b", "too few words")], "item_id string, text string")
+
+    def met():
+        out = decontam.matches(docs, items)
+        return sorted((r["doc_id"], r["item_id"], r["matched"], r["word_start"]) for r in out.collect()), out._jdf.queryExecution().executedPlan().toString()
+
+    want, plan = met()
+    assert want == [(i, "a", 20, 2) for i in (1, 3, 5, 7)] and "SortMergeJoin" in plan
+    monkeypatch.setattr(decontam, "SENT_KEYS", 0)
+    rows, plan = met()
+    assert rows == want and "Broadcast" not in plan
+
+
 def test_fingerprints_release_earlier_caches():
     from folioscope.llm import common, simhash, toxicity
 
