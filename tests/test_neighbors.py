@@ -158,3 +158,29 @@ def test_vectors_are_moved_packed(spark):
     assert rows.schema["vec"].dataType.simpleString() == "binary"
     kept = rows.select("id", "vec").toPandas()
     assert np.array_equal(nb._unpacked(kept["vec"]), x[kept["id"]])
+
+
+def test_values_below_limits_are_counted_by_bins():
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=5000), np.round(rng.normal(size=5000), 1), np.zeros(5000), np.append(rng.normal(size=900), [np.inf] * 100)):
+        for limits in (rng.normal(size=7), values[:9], np.array([0.0]), np.array([-9.0, 9.0]), np.array([0.1, np.nan]), np.array([0.0, np.inf])):
+            assert (nb._below(values, limits) == np.searchsorted(np.sort(values), limits, "left")).all()
+
+
+def test_trustworthiness_of_several_embeddings(spark):
+    x, k = np.random.default_rng(5).normal(size=(90, 5)), 6
+
+    def order(v):
+        gap = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+        np.fill_diagonal(gap, np.inf)
+        return gap.argsort(axis=1, kind="stable")
+
+    first = order(x)
+    frame = lambda v: spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(v)], "id bigint, vec array<double>")
+    near = spark.createDataFrame([(i, int(j)) for i in range(90) for j in first[i, :k]], "id bigint, nn_id bigint")
+    got = {r["embedding"]: r["trustworthiness"] for r in nb.trustworthiness_of(frame(x), [frame(x[:, :1]), frame(x[:, :2])], k, original=near).collect()}
+    rank = first.argsort(axis=1) + 1
+    for i, d in enumerate((1, 2)):
+        over = np.maximum(np.take_along_axis(rank, order(x[:, :d])[:, :k], axis=1) - k, 0).sum()
+        assert got[i] == pytest.approx(1 - 2 * over / (90 * k * (2 * 90 - 3 * k - 1)))
+    assert sorted(got) == [0, 1]
