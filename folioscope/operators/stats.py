@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ HOT_ROWS = 5_000_000
 
 @dataclass
 class Located:
-    """Value cells, their (keys, shard) list, and one row per group with quantiles and fences."""
+    """Value cells, their (keys, shard) list with the count of the group, and one row per group with quantiles and fences."""
 
     cells: DataFrame
     shards: DataFrame
@@ -58,7 +59,7 @@ def location_statistics(
         F.when(iqr > 0, F.col("q25") - FENCE_IQRS * iqr).otherwise(F.col("q25")).alias("lo"),
         F.when(iqr > 0, F.col("q75") + FENCE_IQRS * iqr).otherwise(F.col("q75")).alias("hi"),
     )
-    return Located(cells, offsets.select(*keys, "shard"), groups)
+    return Located(cells, offsets.select(*keys, "shard", "cnt_all"), groups)
 
 
 def clipped_moments(located: Located, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -69,11 +70,12 @@ def clipped_moments(located: Located, keys: Sequence[str], value: str = "value")
     cells by (group, shard), which the cells are already partitioned by.
     """
     scale = F.when(F.col("iqr") > 0, F.col("iqr")).otherwise(F.lit(1.0))
-    fences = located.shards.join(
+    # By count, not by value, in both: without the values, or with fewer, their rows would move once more.
+    fences = located.shards.where(F.col("cnt_all") > 0).drop("cnt_all").join(
         located.groups.select(*keys, "median", "iqr", "lo", "hi"), list(keys)
     )
     d = F.col("_d")
-    spread = located.cells.where(F.col(value).isNotNull()).join(fences, [*keys, "shard"]).withColumn(
+    spread = located.cells.where(F.col("cnt") > 0).join(fences, [*keys, "shard"]).withColumn(
         "_d", (clip(F.col(value), F.col("lo"), F.col("hi")) - F.col("median")) / scale
     )
     return spread.groupBy(*keys).agg(
@@ -116,9 +118,30 @@ def sharded_statistics(
     long: DataFrame, keys: Sequence[str], value: str = "value",
     within: Sequence[str] = ("metric", "variant"), min_valid: int = MIN_VALID,
 ) -> DataFrame:
-    """Statistics of long measurements for groups of any length."""
+    """Statistics of long measurements for groups of any length.
+
+    The names in `within` are bounded by the schema; a short number stands for them until the end,
+    so that they don't travel with every value.
+    """
     keys = list(keys)
-    located = location_statistics(long, keys, value, within)
+    names = [c for c in keys if c in within]
+    if not names:
+        return _sharded(long, keys, value, within, min_valid)
+    known = sorted(tuple(r) for r in long.select(*names).distinct().collect() if None not in tuple(r))
+    if not known:
+        return _sharded(long, keys, value, within, min_valid)
+    # As names joins never match null, groups of a null name don't stand in the result.
+    kind = F.coalesce(*[F.when(reduce(Column.__and__, [F.col(c) == v for c, v in zip(names, some)]), i) for i, some in enumerate(known)])
+    short = [c for c in keys if c not in names] + ["_kind"]
+    coded = long.withColumn("_kind", kind).where(F.col("_kind").isNotNull()).select(*short, value)
+    stats = _sharded(coded, short, value, ["_kind"], min_valid)
+    spelled = [F.element_at(F.array(*[F.lit(some[i]) for some in known]), F.col("_kind") + 1).alias(c) for i, c in enumerate(names)]
+    return stats.select("*", *spelled).select(*keys, "n", *STATISTICS)
+
+
+def _sharded(long: DataFrame, keys: list[str], value: str, within: Sequence[str], min_valid: int) -> DataFrame:
+    # The joins over cells drop null keys anyway; dropped here, all readers of the cells share one exchange.
+    located = location_statistics(long.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in keys])), keys, value, within)
     full = located.groups.join(clipped_moments(located, keys, value), keys, "left")
     return _ready(full, keys, moment_statistics(F.col("n")), min_valid)
 

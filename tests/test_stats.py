@@ -104,3 +104,19 @@ def test_entity_statistics_need_no_join_and_no_percentile(spark, frames):
     out = st.grouped_statistics(frames, "entity_id", {("v", "raw"): F.col("value"), ("w", "raw"): F.col("value") * 2})
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "percentile" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_rows_of_the_hot_path_move_once_under_short_keys(spark):
+    long = spark.range(400).select(
+        F.concat(F.lit("e"), F.col("id") % 4).alias("entity_id"), F.explode(F.array(F.lit("speed"), F.lit("gap"))).alias("metric"),
+        F.lit("raw").alias("variant"), F.when(F.col("id") % 5 > 0, F.col("id") * F.col("id") / 7.0).alias("value"))
+    keys = ["entity_id", "metric", "variant"]
+    out = st.sharded_statistics(long, keys, min_valid=5)
+    rows = {(r["entity_id"], r["metric"], r["variant"]): r for r in out.collect()}
+    assert len(rows) == 8 and all(r["n"] == 80 and r["kurtosis"] is not None for r in rows.values())
+    want = {(r["entity_id"], r["metric"], r["variant"]): r["mean"] for r in long.groupBy(*keys).agg(F.avg("value").alias("mean")).collect()}
+    assert all(rows[k]["mean"] == pytest.approx(want[k]) for k in want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan[:plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "Reused" not in line]
+    assert len(moved) == 1 and "metric" not in moved[0]
