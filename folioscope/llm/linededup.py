@@ -47,7 +47,9 @@ def line_hashes(documents: DataFrame, min_chars: int) -> DataFrame:
     keys = F.transform(text_lines(F.col("text")), lambda line, i: F.struct(i.alias("at"), line_key(line).alias("key")))
     long_ones = F.filter(keys, lambda k: F.length(k["key"]) >= min_chars)
     found = F.transform(long_ones, lambda k: F.struct(k["at"].alias("at"), key_hash(k["key"]).alias("k")))
-    return documents.select("doc_id", text_mark().alias("mark"), F.explode(found).alias("x")).select("doc_id", "mark", "x.at", "x.k.h", "x.k.g")
+    # Marked before the lines become rows: beside them the whole text would be hashed for each line.
+    marked = documents.select("doc_id", text_mark().alias("mark"), found.alias("found"))
+    return marked.select("doc_id", "mark", F.explode("found").alias("x")).select("doc_id", "mark", "x.at", "x.k.h", "x.k.g")
 
 
 class LineRuns:
